@@ -221,10 +221,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
 def _links(docs: DataFrame, groups: DataFrame, key: str, text: str, rule: Rule, chunk: int) -> DataFrame:
     """(a, b): verified links that join all linked candidates."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / rule.percent)) + F.lit(1e-9)).cast("int")
-    size = groups.groupBy("c").agg(F.sum("n").alias("all"))
-    of = groups.join(size, "c").withColumn("windows", F.when(F.col("all") <= chunk, F.array(F.lit(-2))).otherwise(F.array(band - 1, band)))
+    # written, so that Spark knows how few they are and need not deal the rows of a large component to one task
+    large = written(groups.groupBy("c").agg(F.sum("n").alias("all")).where(F.col("all") > chunk).select("c", F.lit(True).alias("large")))
+    of = groups.join(large, "c", "left").withColumn("windows", F.when(F.col("large"), F.array(band - 1, band)).otherwise(F.array(F.lit(-2))))
     of = of.withColumn("w", F.explode("windows")).select("rep", "n", "c", "w")
-    parts = of.groupBy("c", "w").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.count("*").alias("k")).where("k > 1").drop("k")
+    parts = written(of.groupBy("c", "w").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.count("*").alias("k")).where("k > 1").drop("k"))
     of = written(of.join(parts, ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct("c", "w", "chunks")).alias("at")))  # two windows at most
     near = F.broadcast(of) if of.count() <= SENT else of
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(near, "rep").dropDuplicates(["rep"])

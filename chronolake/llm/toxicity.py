@@ -18,7 +18,7 @@ from .common import bounded_sample, held_out
 
 BUCKETS = 2**17
 #: Labelled documents that the field is fitted on, at most (about).
-SAMPLE = 8000
+SAMPLE = 4000
 REMEMBERED = 800_000
 #: Tokens whose chains are computed at once, and steps of a block of the scan.
 CHUNK, STEPS = 400_000, 128
