@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import json
 
+import numpy as np
+
 #: How GPT-2 splits text before merging, and how byte-level vocabularies write the bytes that are no printable characters.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -39,6 +41,8 @@ class ByteBPE:
             raise ValueError(f"{path}: its ids are not its merges' ranks")
         self._encoding = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
         self._added = frozenset(added)
+        self._opens = np.zeros(max(ranks.values()) + 1, bool)
+        self._opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
 
     def encode(self, text: str) -> list[int]:
         if any(t in text for t in self._added):
@@ -46,6 +50,25 @@ class ByteBPE:
         return self._encoding.encode_ordinary(text)
 
 
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each word in turn, added tokens taken as text, and which ids open a word.
+
+        Words hold no ASCII blank, so only a word's first id holds a space first, and one call encodes them all; words with other blanks
+        inside, which might merge across, are encoded one by one.
+        """
+        text = " " + b" ".join(words).decode("utf-8", "replace")
+        if words and len(text.split()) == len(words):
+            ids = np.asarray(self._encoding.encode_ordinary(text), np.int64)
+            opens = self._opens[ids]
+            if opens.sum() == len(words):
+                return ids, opens
+        each = [self._encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+        ids = np.array([i for e in each for i in e], np.int64)
+        opens = np.zeros(len(ids), bool)
+        opens[np.cumsum([0, *map(len, each)])[:-1]] = True
+        return ids, opens
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> ByteBPE:
     """One per Python worker."""

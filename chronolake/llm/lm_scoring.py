@@ -23,7 +23,7 @@ from .common import bounded_sample, held_out, words, written
 from .packing import tokenizer_path
 
 #: Ids that the softmax tells apart, ids that embeddings tell apart, width, heads.
-OUTPUTS, INPUTS, WIDTH, HEADS = 256, 2048, 16, 2
+OUTPUTS, INPUTS, WIDTH, HEADS = 192, 2048, 16, 2
 #: Each block of BLOCK ids is scored in a window of it and the block before.
 BLOCK = 16
 #: Documents that the attention is trained on, at most (about), and ids of them. Counts cover all training documents, whatever their number.
@@ -46,30 +46,32 @@ def _hash(word: bytes) -> int:
     return (h - 2**64 if h >= 2**63 else h) if h != 2**64 - 1 else 0
 
 
-def _ids(encode, word: bytes) -> list[int]:
-    return encode(" " + word.decode("utf-8", "replace"))
+def _pairs(tokenizer: bpe.ByteBPE, seen: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids inside words, NONE before the first and after the last, with the words' counts; sorted and distinct."""
+    ids, opens = tokenizer.encode_words(seen)
+    word = np.cumsum(opens) - 1
+    before = np.where(opens, NONE, np.concatenate([[NONE], ids[:-1]]))
+    last = np.flatnonzero(np.append(opens[1:], True))
+    pairs = np.concatenate([before << 17 | ids, ids[last] << 17 | NONE])
+    distinct, at = np.unique(pairs, return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate([n[word], n[word[last]]]), len(distinct)).astype(np.int64)
 
 
 def counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(kind, key, n) over all texts t of docs. kind 0: word (hash) and end; 1: pair of ids, before << 17 | id, inside words, with NONE
     before a word's first id and after its last. Words are counted in each task before anything is shuffled."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = bpe.load(tokenizer).encode
+        encoder = bpe.load(tokenizer)
         seen: Counter = Counter()
         texts = 0
 
         def told(ends: int) -> pd.DataFrame:
-            pairs: Counter = Counter()
-            for w, n in seen.items():
-                last = NONE
-                for i in _ids(encode, w):
-                    pairs[last << 17 | i] += n
-                    last = i
-                pairs[last << 17 | NONE] += n
-            key = [*map(_hash, seen), _END_HASH, *pairs]
-            out = pd.DataFrame({"kind": np.repeat([0, 1], [len(seen) + 1, len(pairs)]).astype(np.int32), "key": np.array(key, np.int64), "n": np.array([*seen.values(), ends, *pairs.values()], np.int64)})
+            found, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
             seen.clear()
-            return out
+            parts = [_pairs(encoder, found[lo : lo + 20_000], n[lo : lo + 20_000]) for lo in range(0, len(found), 20_000)]
+            key = np.concatenate([np.array([*map(_hash, found), _END_HASH], np.int64), *[p[0] for p in parts]])
+            n = np.concatenate([n, [ends], *[p[1] for p in parts]])
+            return pd.DataFrame({"kind": (np.arange(len(key)) > len(found)).astype(np.int32), "key": key, "n": n})
 
         for batch in batches:
             for t in batch["t"].tolist():
@@ -325,17 +327,17 @@ def train(model: Model, ids: list[np.ndarray], seed: int = 0, epochs: int = 3, r
 def fit(docs: DataFrame, table: DataFrame, tokenizer: str) -> Model:
     """The model of the texts t (keys k) of docs, whose counts are in table."""
     few, _ = most_frequent(table.where("kind = 1").select("key", "n"), SENT_PAIRS)
-    few = few.toPandas().sort_values("key")
+    few = few.toArrow().to_pandas().sort_values("key")
     ends = table.where(f"kind = 0 AND key = {_END_HASH}").agg(F.sum("n")).first()[0] or 0
     pairs = np.concatenate([few["key"].to_numpy(np.int64), [NONE << 17 | END, END << 17 | NONE]])
     model = started(pairs, np.concatenate([few["n"].to_numpy(np.int64), [ends, ends]]), np.random.default_rng(0))
-    encode = bpe.load(tokenizer).encode
+    encoder = bpe.load(tokenizer)
     texts = sorted((str(r["k"]), r["t"]) for r in bounded_sample(docs.where("t IS NOT NULL"), "k", SAMPLE, "lm").toLocalIterator())
     ids, total = [], 0
     for i in np.random.default_rng(1).permutation(len(texts)):
         if total >= SAMPLE_IDS:
             break
-        ids.append(np.array([x for w in words(texts[i][1]) for x in _ids(encode, w)] + [END], np.int64))
+        ids.append(np.append(encoder.encode_words(words(texts[i][1]))[0], END))
         total += len(ids[-1])
     return train(model, ids)
 
@@ -356,51 +358,44 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(total or 0), int(distinct)
     top, whole = most_frequent(vocabulary, SENT_WORDS)
-    top = top.toPandas().sort_values("key")
+    top = top.toArrow().to_pandas().sort_values("key")
     model = fit(learn, table, tokenizer)
     known = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((model, known))  # bounded by SENT_WORDS, SENT_PAIRS and the model's fixed sizes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, (keys, n) = sent.value
-        scorer, encode = Scorer(model), bpe.load(tokenizer).encode
+        scorer, encoder = Scorer(model), bpe.load(tokenizer)
         number: dict[bytes, int] = {}
-        ids: list[list[int]] = []
-        c = np.zeros(1024)  # a word's count; -1: not among those sent
-        hashes = np.zeros(1024, np.int64)
+        c, hashes = np.zeros(0), np.zeros(0, np.int64)  # a word's count, -1 if it is not among those sent; its hash
 
-        def count(h: int) -> float:
-            at = np.searchsorted(keys, h)
-            return float(n[at]) if at < len(keys) and keys[at] == h else (0.0 if whole else -1.0)
-
-        def learn(w: bytes) -> int:
+        def learn(new: list[bytes]) -> None:
             nonlocal c, hashes
-            i = number[w] = len(ids)
-            if i == len(c):
-                c, hashes = np.concatenate([c, np.zeros_like(c)]), np.concatenate([hashes, np.zeros_like(hashes)])
-            ids.append(_ids(encode, w))
-            hashes[i] = h = _hash(w)
-            c[i] = count(h)
-            return i
+            if len(number) >= REMEMBERED:
+                number.clear()
+                c, hashes = c[:0], hashes[:0]
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            h = np.array([_hash(w) for w in new], np.int64)
+            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+            found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            c = np.concatenate([c, np.where(found, n[at] if len(keys) else 0, 0.0 if whole else -1.0)])
+            hashes = np.concatenate([hashes, h])
 
         def given(rows: list) -> pd.DataFrame:
-            parts, out, at = [], [], 0
-            for _, t in rows:
-                if len(ids) >= REMEMBERED:
-                    number.clear()
-                    ids.clear()
-                found = words(t)
-                at = [i if (i := number.get(w)) is not None else learn(w) for w in found]
-                flat = [x for i in at for x in ids[i]]
-                flat.append(END)
-                parts.append(np.array(flat, np.int64))
-                own = c[at] if at else np.zeros(0)
+            texts = [words(t) for _, t in rows]
+            distinct = set().union(*texts)
+            if new := [w for w in distinct if w not in number]:
+                learn(new if len(number) < REMEMBERED else list(distinct))
+            parts, out = [], []
+            for found in texts:
+                parts.append(np.append(encoder.encode_words(found)[0], END) if found else np.array([END], np.int64))
+                at = np.array([number[w] for w in found], np.int64)
+                own = c[at]
                 seen = own[own >= 0]
-                out.append((len(at) + 1, int((seen > 0).sum()), float(np.log10(seen + _SMOOTH).sum()), hashes[np.array(at, np.int64)[own < 0]] if len(seen) < len(at) else none))
+                out.append((len(at) + 1, int((seen > 0).sum()), float(np.log10(seen + _SMOOTH).sum()), hashes[at[own < 0]]))
             n_tokens, n_known, sums, rare = zip(*out, strict=True)
             return pd.DataFrame({"k": [r[0] for r in rows], "n_tokens": n_tokens, "n_known": n_known, "sums": sums, "rare": pd.Series(rare, dtype=object), "score": scorer.texts(parts)})
 
-        none = np.zeros(0, np.int64)
         for batch in batches:
             rows = list(zip(batch["k"].astype(object).where(batch["k"].notna(), None).tolist(), batch["t"].tolist(), strict=True))
             for lo in range(0, len(rows), 256):
