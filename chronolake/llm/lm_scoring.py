@@ -163,14 +163,16 @@ class Scorer:
         self.m = model
         self.symbol, self.given = model.tables()
         self.weight = np.exp(model.mask())[:, None]
-        d = WIDTH // HEADS
-        split = lambda x: [np.ascontiguousarray(x[:, h * d : (h + 1) * d]) for h in range(HEADS)]
-        self.query, self.key = split(model.query * np.float32(d**-0.5)), split(model.key)
-        self.value = [np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1) for x in split(model.value)]
+        d, n = WIDTH // HEADS, len(model.own)
+        value = np.ones((n, HEADS, d + 1), np.float32)  # the ones sum the weights
+        value[:, :, :d] = model.value.reshape(n, HEADS, d)
+        #: All that an input's embedding is needed for, in one row: query, key, value with a one for each head, own.
+        self.rows = np.concatenate([model.query * np.float32(d**-0.5), model.key, value.reshape(n, -1), model.own], axis=1)
         new = lambda *x: np.empty(x, np.float32)
-        self.q, self.k, self.v, self.s, self.o = new(HEADS, BATCH, BLOCK, d), new(HEADS, BATCH, 2 * BLOCK, d), new(HEADS, BATCH, 2 * BLOCK, d + 1), new(HEADS, BATCH, BLOCK, 2 * BLOCK), new(HEADS, BATCH, BLOCK, d + 1)
+        self.x, self.s, self.o = new((BATCH + 1) * BLOCK, self.rows.shape[1]), new(HEADS, BATCH, BLOCK, 2 * BLOCK), new(HEADS, BATCH, BLOCK, d + 1)
         self.a, self.b = new(BATCH * BLOCK, len(model.heads) + 1), new(BATCH * BLOCK, len(model.heads) + 1)
         self.ones = np.ones(len(model.heads) + 1, np.float32)
+        self.line = np.arange(BATCH * BLOCK) * (len(model.heads) + 1)
 
     def numbers(self, target: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pad = len(self.m.own) - 1
@@ -180,41 +182,39 @@ class Scorer:
         previous[first] = pad
         return np.where(target < 0, 0, self.symbol[target]), given, previous
 
-    def hidden(self, given: np.ndarray, previous: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """As Model.attend, with masks multiplied, sums taken by the product with the values, and memory used again. Attention scores are
-        bounded by `limit`, far above what training gives, in place of subtracting their maximum."""
-        n, d = len(given), WIDTH // HEADS
-        q = self.q[:, :n]
-        k, v = self.k[:, :n], self.v[:, :n]
-        for h in range(HEADS):
-            np.take(self.query[h], given, axis=0, out=q[h])
-            np.take(self.key[h], previous, axis=0, out=k[h, :, :BLOCK])
-            np.take(self.key[h], given, axis=0, out=k[h, :, BLOCK:])
-            np.take(self.value[h], previous, axis=0, out=v[h, :, :BLOCK])
-            np.take(self.value[h], given, axis=0, out=v[h, :, BLOCK:])
-        s = np.matmul(q, k.transpose(0, 1, 3, 2), out=self.s[:, :n])
+    def hidden(self, given: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Model.attend for consecutive blocks, given with the one before them: windows are views, masks multiply, and the product with the
+        values also sums the weights. Attention scores are bounded, far above what training gives, in place of subtracting their maximum."""
+        n, d = len(first), WIDTH // HEADS
+        x = np.take(self.rows, given, axis=0, out=self.x[: len(given)], mode="clip")
+        row, one = x.strides
+        window = lambda at, wide: np.lib.stride_tricks.as_strided(x[:, at:], (HEADS, n, 2 * BLOCK, wide), (wide * one, BLOCK * row, row, one))
+        q = x[BLOCK:, :WIDTH].reshape(n, BLOCK, HEADS, d).transpose(2, 0, 1, 3)
+        s = np.matmul(q, window(WIDTH, d).transpose(0, 1, 3, 2), out=self.s[:, :n])
         np.minimum(s, np.float32(60), out=s)
         np.exp(s, out=s)
         s *= self.weight
         if first.any():
             s[:, first, :, :BLOCK] = 0
-        o = np.matmul(s, v, out=self.o[:, :n])
-        out = self.m.own[given]
-        for h in range(HEADS):
-            out[:, :, h * d : (h + 1) * d] += o[h, :, :, :d] / o[h, :, :, d:]
+        o = np.matmul(s, window(2 * WIDTH, d + 1), out=self.o[:, :n])
+        o[..., :d] /= o[..., d:]
+        out = x[BLOCK:, -WIDTH:].reshape(n, BLOCK, HEADS, d) + o[..., :d].transpose(1, 2, 0, 3)
         return out.reshape(-1, WIDTH)
 
     def texts(self, ids: list[np.ndarray]) -> np.ndarray:
         target, before, first = blocks(ids)
-        symbol, given, previous = self.numbers(target, before, first)
-        direct = np.minimum(given, len(self.m.inputs)).reshape(-1)
+        symbol, given, _ = self.numbers(target, before, first)
+        given = np.concatenate([np.full(BLOCK, len(self.m.own) - 1), given.reshape(-1)])
+        flat_symbol = symbol.reshape(-1)
         picked, sums = np.empty(target.size, np.float32), np.empty(target.size, np.float32)
         for lo in range(0, len(target), BATCH):
-            part, flat = slice(lo, lo + BATCH), slice(lo * BLOCK, (lo + BATCH) * BLOCK)
-            hidden = self.hidden(given[part], previous[part], first[part])
-            logits = np.matmul(hidden, self.m.out, out=self.a[: len(hidden)])
-            logits += np.take(self.m.direct, direct[flat], axis=0, out=self.b[: len(hidden)], mode="clip")
-            picked[flat] = np.take_along_axis(logits, symbol[part].reshape(-1, 1), axis=1)[:, 0]
+            flat = slice(lo * BLOCK, (lo + BATCH) * BLOCK)
+            own = given[lo * BLOCK : (lo + BATCH + 1) * BLOCK]
+            hidden = self.hidden(own, first[lo : lo + BATCH])
+            n = len(hidden)
+            logits = np.matmul(hidden, self.m.out, out=self.a[:n])
+            logits += np.take(self.m.direct, own[BLOCK:], axis=0, out=self.b[:n], mode="clip")  # padding's row does not matter
+            picked[flat] = np.take(self.a, self.line[:n] + flat_symbol[flat])
             np.exp(logits, out=logits)  # logits are log-probabilities of counts and small corrections: they do not overflow
             sums[flat] = logits @ self.ones
         got = ((picked - np.log(sums)) / np.float32(np.log(10))).reshape(target.shape)
@@ -222,8 +222,7 @@ class Scorer:
         score = got.astype(np.float64)
         rare = (symbol == len(self.m.heads)) & (target >= 0)
         score[rare] += self.others(before[rare], target[rare])
-        many = np.add.reduceat(score.sum(1), np.flatnonzero(first))
-        return many
+        return np.add.reduceat(score.sum(1), np.flatnonzero(first))
 
     def others(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 P(id | the id before, an id outside the softmax): counts of the pair, backed by the id's share."""
@@ -367,32 +366,39 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
         model, (keys, n) = sent.value
         scorer, encoder = Scorer(model), bpe.load(tokenizer)
         number: dict[bytes, int] = {}
-        c, hashes = np.zeros(0), np.zeros(0, np.int64)  # a word's count, -1 if it is not among those sent; its hash
+        # by a word's number, 0 being the end: its count (-1: not among those sent), hash, and where its ids are
+        c, hashes, at, many, flat = np.zeros(1), np.full(1, _END_HASH), np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, END)
 
-        def learn(new: list[bytes]) -> None:
-            nonlocal c, hashes
+        def learn(distinct: set[bytes]) -> None:
+            nonlocal c, hashes, at, many, flat
             if len(number) >= REMEMBERED:
                 number.clear()
-                c, hashes = c[:0], hashes[:0]
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+                c, hashes, at, many, flat = c[:1], hashes[:1], at[:1], many[:1], flat[:1]
+            new = [w for w in distinct if w not in number]
+            if not new:
+                return
+            number.update(zip(new, range(len(number) + 1, len(number) + 1 + len(new)), strict=True))
             h = np.array([_hash(w) for w in new], np.int64)
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            c = np.concatenate([c, np.where(found, n[at] if len(keys) else 0, 0.0 if whole else -1.0)])
-            hashes = np.concatenate([hashes, h])
+            found = np.zeros(len(h), bool)
+            if len(keys):
+                near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                found = keys[near] == h
+            c = np.concatenate([c, np.where(found, n[near], 0.0 if whole else -1.0) if len(keys) else np.full(len(h), 0.0 if whole else -1.0)])
+            ids, opens = encoder.encode_words(new)
+            starts = np.flatnonzero(opens)
+            hashes, at, many, flat = np.concatenate([hashes, h]), np.concatenate([at, starts + len(flat)]), np.concatenate([many, np.diff(np.append(starts, len(ids)))]), np.concatenate([flat, ids])
 
         def given(rows: list) -> pd.DataFrame:
             texts = [words(t) for _, t in rows]
-            distinct = set().union(*texts)
-            if new := [w for w in distinct if w not in number]:
-                learn(new if len(number) < REMEMBERED else list(distinct))
+            learn(set().union(*texts))
             parts, out = [], []
             for found in texts:
-                parts.append(np.append(encoder.encode_words(found)[0], END) if found else np.array([END], np.int64))
-                at = np.array([number[w] for w in found], np.int64)
-                own = c[at]
+                w = np.array([*[number[x] for x in found], 0], np.int64)
+                length = many[w]
+                parts.append(flat[np.repeat(at[w] - (np.cumsum(length) - length), length) + np.arange(length.sum())])
+                own = c[w[:-1]]
                 seen = own[own >= 0]
-                out.append((len(at) + 1, int((seen > 0).sum()), float(np.log10(seen + _SMOOTH).sum()), hashes[at[own < 0]]))
+                out.append((len(w), int((seen > 0).sum()), float(np.log10(seen + _SMOOTH).sum()), hashes[w[:-1][own < 0]]))
             n_tokens, n_known, sums, rare = zip(*out, strict=True)
             return pd.DataFrame({"k": [r[0] for r in rows], "n_tokens": n_tokens, "n_known": n_known, "sums": sums, "rare": pd.Series(rare, dtype=object), "score": scorer.texts(parts)})
 
