@@ -6,6 +6,7 @@ import functools
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the Castagnoli polynomial, reflected.
 _POLY = 0x82F63B78
@@ -55,16 +56,16 @@ def rle_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def rle_compress(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else rle_encode(bytes(x)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def rle_uncompress(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else rle_decode(bytes(x)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_of(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else crc32c(bytes(x)))
