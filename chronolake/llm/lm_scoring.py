@@ -2,7 +2,7 @@
 
 The model. A text is its lower-cased words, each the byte-level BPE ids of a space and the word, then one end. The next id's logits are
 a direct path from the id before it (a table of corpus counts, all training documents) plus what two attention heads gather from up to
-31 ids before it, which is trained. The softmax covers the most frequent ids and one class for all others, whose members follow from
+15 ids before it, which is trained. The softmax covers the most frequent ids and one class for all others, whose members follow from
 corpus counts, so that every text has a probability above 0.
 """
 
@@ -23,9 +23,9 @@ from .common import bounded_sample, held_out, words, written
 from .packing import tokenizer_path
 
 #: Ids that the softmax tells apart, ids that embeddings tell apart, width, heads.
-OUTPUTS, INPUTS, WIDTH, HEADS = 192, 2048, 16, 2
+OUTPUTS, INPUTS, WIDTH, HEADS = 160, 2048, 16, 2
 #: Each block of BLOCK ids is scored in a window of it and the block before.
-BLOCK = 16
+BLOCK = 8
 #: Documents that the attention is trained on, at most (about), and ids of them. Counts cover all training documents, whatever their number.
 SAMPLE, SAMPLE_IDS = 3000, 1_200_000
 #: Words and id pairs that are sent to every worker, at most: the most frequent. Rarer words are looked up by a join, rarer pairs by their ids alone.
@@ -33,7 +33,7 @@ SENT_WORDS, SENT_PAIRS = 1_000_000, 400_000
 #: Distinct words that a worker counts or remembers before it hands them on or starts anew.
 REMEMBERED = 600_000
 #: Blocks whose windows are computed at once; few, so that their logits stay in the processor's cache.
-BATCH = 64
+BATCH = 128
 #: The end, as an id and as a word's hash; also what stands before a text's first id.
 END, NONE = 2**17 - 1, 2**17 - 2
 _END_HASH = -1
@@ -270,7 +270,7 @@ def started(pairs: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> Model
     return Model(heads, inputs, np.log(grid).astype(np.float32), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), np.zeros((WIDTH, h + 1), np.float32), np.zeros((HEADS, 2 * BLOCK), np.float32), pairs[inside][order], n[order], first, last, rest, follows)
 
 
-def train(model: Model, ids: list[np.ndarray], seed: int = 0, epochs: int = 3, rate: float = 0.01, size: int = 128) -> Model:
+def train(model: Model, ids: list[np.ndarray], seed: int = 0, epochs: int = 3, rate: float = 0.01, size: int = 256) -> Model:
     """Adam on the attention, its embeddings and their output weights; the direct path stays as counted."""
     if not ids:
         return model
