@@ -7,7 +7,7 @@ import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,17 +28,42 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
+#: Paths written inside each kept_only() that is under way, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage is cut, and it survives the loss of any executor.
 
-    The table stays until the folder is cleaned by whoever owns it; a plan read later may still need it.
+    The table stays until the folder is cleaned by whoever owns it, as a plan read later may still need it; but see kept_only.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/chronolake-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """written(make()), after which the tables that make() wrote on its way are deleted."""
+    before = len(_scopes)
+    _scopes.append([])
+    try:
+        df = make()
+        _scopes.append([])
+        out = written(df)
+        gone, made = _scopes[before:]
+    finally:
+        del _scopes[before:]
+    if _scopes:
+        _scopes[-1].extend(made)
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return out
+
+
 def remainder(key: str | Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo the divisor; null for a null key."""
     key = F.col(key) if isinstance(key, str) else key

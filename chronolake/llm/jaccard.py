@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, group_edges, ordered_groups, words, written
+from .common import components, group_edges, kept_only, ordered_groups, words, written
 
 REMEMBERED = 1_000_000
 #: Shingles of an index that one task builds (two such chunks meet in a task).
 CHUNK = 1_000_000
 #: Documents up to which the list of those to look at closely is broadcast (8 bytes each); beyond it, Spark joins by shuffle or as it sees fit.
 SENT = 400_000
+#: The same for bare keys of documents that go.
+SENT_KEYS = 1_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
 
@@ -209,10 +211,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
     sets = written(_sets(docs, key, text, rule))
     some = sets.where("n > 0 AND id IS NOT NULL")
     classes = written(some.groupBy("n", "h", "g").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")))
-    groups = components(candidates(classes, rule)).withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
-    groups = written(groups.join(classes.select("rep", "n"), "rep"))
+    spark = docs.sparkSession
+    groups = kept_only(spark, lambda: components(candidates(classes, rule)).select(F.col("node").alias("rep"), F.col("component").alias("c")).join(classes.select("rep", "n"), "rep"))
     found = written(_links(docs, groups, key, text, rule, chunk))
-    tops = components(found)
+    tops = kept_only(spark, lambda: components(found))
     classes = classes.select("n", "h", "g", "rep").join(tops.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h", "g", F.coalesce("component", "rep").alias("c"))
     out = sets.select("id", "n", "h", "g").join(classes, ["n", "h", "g"], "left")
     return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
@@ -257,8 +259,9 @@ PIPELINE = Rule(width=5, percent=80)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near-duplicates, once; documents without doc_id link with nothing and stay."""
-    found = written(join(docs, rule=PIPELINE))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    found = kept_only(spark, lambda: join(docs, rule=PIPELINE))
+    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct())
+    gone = F.broadcast(gone) if gone.count() <= SENT_KEYS else gone  # else the texts must move
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     out = docs.join(gone, "doc_id", "left_anti")
     if again.limit(1).count():  # rows that repeat a key: only those are brought together
