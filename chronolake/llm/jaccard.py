@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import components, group_edges, kept_only, ordered_groups, words, written
 
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Shingles of an index that one task builds (two such chunks meet in a task).
 CHUNK = 1_000_000
 #: Documents up to which the list of those to look at closely is broadcast (8 bytes each); beyond it, Spark joins by shuffle or as it sees fit.

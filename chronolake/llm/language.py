@@ -19,7 +19,7 @@ BUCKETS, WIDTH = 2**15, 16
 #: Labelled documents that a model is fitted on, at most (about); a documented bound, as fitting takes a fixed time.
 SAMPLE = 2500
 #: Words that a Python worker remembers; when they are more, it starts anew. Results do not depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 NONE = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 

@@ -19,7 +19,7 @@ from .common import bounded_sample, held_out
 BUCKETS = 2**17
 #: Labelled documents that the field is fitted on, at most (about).
 SAMPLE = 4000
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: Tokens whose chains are computed at once, and steps of a block of the scan.
 CHUNK, STEPS = 400_000, 128
 #: A feature marks toxic tokens if at least so many toxic documents hold it, this many times as often as clean ones do.
