@@ -119,13 +119,15 @@ def mix(docs: DataFrame, target: Target, budget: int | None = None, key: str = "
     limit = summed.where(F.col("before") + F.col("sofar") < F.col("part") - 0.5).groupBy("source").agg(F.max("turn").alias("last"))
     params = written(params.join(limit.withColumnRenamed("source", "l_source"), F.col("p_source").eqNullSafe(F.col("l_source")), "left").select("p_source", "w", "blocks", "whole", F.coalesce("last", F.lit(-1)).alias("last"), passes.alias("passes")))
 
-    out = docs.join(params, F.col(source).eqNullSafe(F.col("p_source")))
-    out = out.withColumn("_block", block(F.col(key), F.col("blocks")))
-    last = turn(F.col("whole"), F.col(source), F.col("_block")) <= F.col("last")
+    # under names of our own, so that no column of docs meets one of the parameters'
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    out = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(key).alias("_key"), F.col(source).alias("_source"), token_count(F.col(text)).alias("_tokens"))
+    out = out.join(params, F.col("_source").eqNullSafe(F.col("p_source"))).withColumn("_block", block("_key", F.col("blocks")))
+    last = turn(F.col("whole"), F.col("_source"), F.col("_block")) <= F.col("last")
     times = F.col("whole") + last.cast("int")
     out = out.where(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    order = (F.col("_epoch") + turn(F.col("_epoch"), F.col(source), F.col("_block")) / F.lit(float(_GRAIN))) / F.greatest(F.col("passes"), F.lit(1e-12))
-    return out.select(*[F.col(c) for c in docs.columns], token_count(F.col(text)).alias("_tokens"), F.col("w").alias("_weight"), "_epoch", order.alias("_order"))
+    order = (F.col("_epoch") + turn(F.col("_epoch"), F.col("_source"), F.col("_block")) / F.lit(float(_GRAIN))) / F.greatest(F.col("passes"), F.lit(1e-12))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], "_tokens", F.col("w").alias("_weight"), "_epoch", order.alias("_order"))
 
 
 #: No source is used more than this many times as often as the one used least.

@@ -256,7 +256,10 @@ def test_field_marginals_against_enumeration():
 
 
 def test_mixing(spark, docs, odd, empty):
-    r = mixing.mix(docs.withColumn("_weight", F.lit("clash")), mixing.Target(repetition=2.0)).collect()
+    clashing = ["w", "blocks", "whole", "last", "passes", "p_source", "_block", "_c0", "_key", "_source"]
+    mixed = mixing.mix(docs.withColumns({"_weight": F.lit("clash"), **{c: F.lit(c) for c in clashing}}), mixing.Target(repetition=2.0))
+    assert mixed.select(*clashing).distinct().collect() == [tuple(clashing)]
+    r = mixed.collect()
     assert {x["doc_id"] for x in r} == {x["doc_id"] for x in docs.collect()}  # nothing is lost without a budget
     used, tokens = Counter(x["source"] for x in r), defaultdict(int)
     for x in r:
