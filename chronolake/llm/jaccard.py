@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, group_edges, kept_only, ordered_groups, words, written
+from .common import bounded_sample, components, group_edges, kept_only, ordered_groups, words, written
 
 REMEMBERED = 300_000
 #: Shingles of an index that one task builds (two such chunks meet in a task).
@@ -20,6 +20,8 @@ CHUNK = 1_000_000
 SENT = 400_000
 #: The same for bare keys of documents that go.
 SENT_KEYS = 1_000_000
+#: Shingles whose lists are not brought together, at most (16 bytes each, broadcast), and classes among which they are sought.
+FREQUENT, FREQUENT_SAMPLE = 10_000, 20_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
 
@@ -187,13 +189,32 @@ def candidates(classes: DataFrame, rule: Rule) -> DataFrame:
     over all documents. A document whose prefix is its own alone is out at once; a passage that many share connects only documents
     that consist of it for the most part. Each list gives a star, never its pairs.
     """
+    frequent = _frequent(classes)
+    few = F.broadcast(frequent)
     lists = classes.select("rep", "n", F.explode("prefix").alias("token"))
-    lists = lists.withColumn("df", F.expr("count(*) OVER (PARTITION BY token)")).where("df > 1")
+    rare = lists.join(few.select("token"), "token", "left_anti").withColumn("df", F.expr("count(*) OVER (PARTITION BY token)"))
+    lists = lists.join(few, "token").unionByName(rare).where("df > 1")
     lists = lists.withColumn("m", F.expr("count(*) OVER (PARTITION BY rep)")).withColumn("least", _spare(F.ceil(F.lit(rule.percent) * F.col("n") / 100).cast("long"), rule))
     lists = lists.where("m >= least").withColumn("r", F.expr("row_number() OVER (PARTITION BY rep ORDER BY df, token)")).where("r <= m - least + 1")
     stars = written(lists.select("rep", "token"))
-    hubs = stars.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    return stars.join(hubs, "token").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = stars.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    few = F.broadcast(frequent.select("token"))
+    wide = stars.join(F.broadcast(hubs.join(few, "token", "left_semi")), "token")
+    narrow = stars.join(few, "token", "left_anti").join(hubs, "token")
+    return wide.unionByName(narrow).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _frequent(classes: DataFrame) -> DataFrame:
+    """(token, df): prefix shingles that a sample shows in one class of 500 or more, FREQUENT at most, counted over all classes.
+
+    Their rows stay where they are and meet this table by broadcast, so no task holds such a list; one that the sample misses costs time,
+    nothing else, as both ways give the same rows.
+    """
+    some = bounded_sample(classes, "rep", FREQUENT_SAMPLE, "frequent")
+    least = max(4, some.count() // 500)
+    seen = some.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") >= least)
+    seen = written(seen.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token"))
+    return written(classes.select(F.explode("prefix").alias("token")).join(F.broadcast(seen), "token").groupBy("token").agg(F.count("*").alias("df")))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule(), chunk: int = CHUNK) -> DataFrame:
