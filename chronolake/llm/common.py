@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +102,20 @@ def ordered_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[p
         yield pd.concat(held)
 
 
+def releasing(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """run, after which its worker gives what it freed back to the system: workers are reused, and the allocator would keep the most they ever held."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def group_edges(frame: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
     """(start, end) of the groups in a frame of ordered_groups."""
     new = (frame[by].to_numpy()[1:] != frame[by].to_numpy()[:-1]).any(axis=1)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, components, group_edges, kept_only, ordered_groups, words, written
+from .common import bounded_sample, components, group_edges, kept_only, ordered_groups, releasing, words, written
 
 REMEMBERED = 300_000
 #: Shingles of an index that one task builds (two such chunks meet in a task).
@@ -174,7 +174,7 @@ def _sets(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
             n, h, g, p = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pd.DataFrame({"id": batch["id"], "n": np.array(n, np.int64), "h": np.array(h, np.int64), "g": np.array(g, np.int64), "prefix": pd.Series(p, dtype=object)})
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(run, "id long, n long, h long, g long, prefix array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(releasing(run), "id long, n long, h long, g long, prefix array<long>")
 
 
 def _spare(n: Column, rule: Rule) -> Column:
@@ -267,7 +267,7 @@ def _links(docs: DataFrame, groups: DataFrame, key: str, text: str, rule: Rule,
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(releasing(run), "a long, b long")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

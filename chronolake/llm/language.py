@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, releasing
 
 BUCKETS, WIDTH = 2**15, 16
 #: Labelled documents that a model is fitted on, at most (about); a documented bound, as fitting takes a fixed time.
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield batch.assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got], rejected=[g[0] == NONE or g[1] < sent.value.threshold for g in got])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(releasing(run), schema)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import written
+from .common import releasing, written
 
 CAPACITY = 2048
 #: Classes 1 .. CLASSES hold pieces of (capacity / (k + 1), capacity / k]; shorter pieces share one class, whose bins are filled in turn.
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     if workers >= 2**_WORKER_BITS:
         raise ValueError(f"{workers} input partitions; sequence ids have room for {2**_WORKER_BITS}")
     done = []
-    step = written(source.select(key, text).mapInPandas(first, schema))
+    step = written(source.select(key, text).mapInPandas(releasing(first), schema))
     while True:
         done.append(step.where("sequence_id >= 0"))
         left = step.where("sequence_id < 0")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, releasing
 
 BUCKETS = 2**17
 #: Labelled documents that the field is fitted on, at most (about).
@@ -300,7 +300,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", span)])
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(releasing(run), schema)
 
 
 def _trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
