@@ -28,7 +28,7 @@ OUTPUTS, INPUTS, WIDTH, HEADS = 160, 2048, 16, 2
 BLOCK = 8
 #: Documents that the attention is trained on, at most (about), and ids of them. Counts cover all training documents, whatever their number.
 SAMPLE, SAMPLE_IDS = 3000, 1_200_000
-#: Words and id pairs that are sent to every worker, at most: the most frequent. Rarer words are looked up by a join, rarer pairs by their ids alone.
+#: Words and id pairs that are sent to every worker, at most: the most frequent. Rarer words and pairs are looked up by joins.
 SENT_WORDS, SENT_PAIRS = 1_000_000, 400_000
 #: Distinct words that a worker counts or remembers before it hands them on or starts anew.
 REMEMBERED = 600_000
@@ -113,6 +113,7 @@ class Model:
     last: np.ndarray  # (2**17) counts of ids before one
     rest: np.ndarray  # (2**17) log10 share of an id among those outside the softmax
     rest_pairs: np.ndarray  # (2**17) how often an id outside the softmax follows
+    whole: bool = True  # whether pairs has all pairs whose second id is outside the softmax
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids as symbols and as inputs."""
@@ -202,6 +203,10 @@ class Scorer:
         return out.reshape(-1, WIDTH)
 
     def texts(self, ids: list[np.ndarray]) -> np.ndarray:
+        return self.looked_up(ids)[0]
+
+    def looked_up(self, ids: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Scores as far as the pairs sent tell; and for each text the pairs that were not, and what their counts are to be added to."""
         target, before, first = blocks(ids)
         symbol, given, _ = self.numbers(target, before, first)
         given = np.concatenate([np.full(BLOCK, len(self.m.own) - 1), given.reshape(-1)])
@@ -222,19 +227,44 @@ class Scorer:
         score = got.astype(np.float64)
         rare = (symbol == len(self.m.heads)) & (target >= 0)
         score[rare] += self.others(before[rare], target[rare])
-        return np.add.reduceat(score.sum(1), np.flatnonzero(first))
+        score = np.add.reduceat(score.sum(1), np.flatnonzero(first))
+        if self.m.whole:
+            return score, [np.empty(0, np.int64)] * len(ids), [np.empty(0)] * len(ids)
+        b, t = before[rare], target[rare]
+        unsent = ~self.sent(b << 17 | t)[1]
+        text = np.broadcast_to((np.cumsum(first) - 1)[:, None], rare.shape)[rare][unsent]
+        cut = np.searchsorted(text, np.arange(1, len(ids)))
+        return score, np.split((b << 17 | t)[unsent], cut), np.split(self.base(b, t)[unsent], cut)
+
+    def sent(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the pairs, 0 where not among those sent; and which are."""
+        m = self.m
+        if not len(m.pairs):
+            return np.zeros(len(pair)), np.zeros(len(pair), bool)
+        at = np.minimum(np.searchsorted(m.pairs, pair), len(m.pairs) - 1)
+        found = m.pairs[at] == pair
+        return np.where(found, m.pair_n[at], 0.0), found
+
+    def base(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """What a pair's count is added to: what its ids' own counts let expect."""
+        m = self.m
+        return m.last[before] * m.first[target] / max(1.0, m.first.sum()) + _BACK * 10.0 ** m.rest[target]
 
     def others(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 P(id | the id before, an id outside the softmax): counts of the pair, backed by the id's share."""
-        m, pair = self.m, before << 17 | target
-        at = np.minimum(np.searchsorted(m.pairs, pair), max(0, len(m.pairs) - 1))
-        n = np.where(m.pairs[at] == pair, m.pair_n[at], 0.0) if len(m.pairs) else np.zeros(len(pair))
-        n = n + m.last[before] * m.first[target] / max(1.0, m.first.sum())
-        return np.log10((n + _BACK * 10.0 ** m.rest[target]) / (np.maximum(m.rest_pairs[before], 0) + _BACK))
+        n, _ = self.sent(before << 17 | target)
+        return np.log10((n + self.base(before, target)) / (np.maximum(self.m.rest_pairs[before], 0) + _BACK))
+
+
+def ranked(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the softmax and ids that have embeddings: the most frequent."""
+    order = np.lexsort((np.arange(2**17), -count))
+    order = order[: np.count_nonzero(count)].astype(np.int64)
+    return order[:OUTPUTS], order[:INPUTS]
 
 
 def started(pairs: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> Model:
-    """The model before training: its direct path and rest are set from the corpus' counts of pairs of ids."""
+    """The model before training, of counts of pairs of ids that are all at hand."""
     before, after = pairs >> 17, pairs & (2**17 - 1)
     n = n.astype(np.float64)
     first, last = np.zeros(2**17), np.zeros(2**17)
@@ -244,14 +274,48 @@ def started(pairs: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> Model
     before, after, n = before[inside], after[inside], n[inside]
     count = first.copy()
     np.add.at(count, after, n)
-    order = np.lexsort((np.arange(2**17), -count))
-    order = order[: np.count_nonzero(count)]
-    heads, inputs = order[:OUTPUTS].astype(np.int64), order[:INPUTS].astype(np.int64)
+    heads, inputs = ranked(count)
+    order = np.argsort(pairs[inside], kind="stable")
+    return assembled(first, last, count, heads, inputs, (before, after, n), (before, after, n), (pairs[inside][order], n[order]), True, rng)
+
+
+def gathered(table: DataFrame, ends: int, rng: np.random.Generator) -> Model:
+    """The model before training. What it needs of the pairs is summed in Spark over the whole table, to a row an id, or a row of two ids
+    that are told apart; of the pairs themselves, those that scoring looks up most often are brought here."""
+    before, after = F.shiftright("key", 17), F.col("key").bitwiseAND(F.lit(2**17 - 1))
+    pairs = table.where("kind = 1").select("key", before.alias("before"), after.alias("after"), "n")
+    inside = pairs.where(f"before <> {NONE} AND after <> {NONE}")
+
+    def summed(rows: DataFrame, *by: str) -> list[np.ndarray]:
+        got = rows.groupBy(*by).agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values(list(by))
+        return [*[got[c].to_numpy(np.int64) for c in by], got["n"].to_numpy(np.float64)]
+
+    def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(2**17)
+        out[at] = n
+        return out
+
+    first, last = spread(*summed(pairs.where(f"before = {NONE}"), "after")), spread(*summed(pairs.where(f"after = {NONE}"), "before"))
+    first[END], last[END] = ends, ends
+    count = first + spread(*summed(inside, "after"))
+    heads, inputs = ranked(count)
+    among = lambda c, ids: F.expr(f"{c} IN ({', '.join(map(str, [-1, *ids.tolist()]))})")
+    told = inside.select(F.when(among("before", inputs), F.col("before")).otherwise(NONE).alias("before"), F.when(among("after", heads), F.col("after")).otherwise(NONE).alias("after"), "n")
+    rare = inside.where(~among("after", heads))
+    follows = summed(rare, "before")
+    few, whole = most_frequent(rare.select("key", "n"), SENT_PAIRS)
+    few = few.toArrow().to_pandas().sort_values("key")
+    return assembled(first, last, count, heads, inputs, tuple(summed(told, "before", "after")), (follows[0], np.full(len(follows[0]), NONE), follows[1]), (few["key"].to_numpy(np.int64), few["n"].to_numpy(np.float64)), whole, rng)
+
+
+def assembled(first: np.ndarray, last: np.ndarray, count: np.ndarray, heads: np.ndarray, inputs: np.ndarray, told: tuple, follow: tuple, sent: tuple, whole: bool, rng: np.random.Generator) -> Model:
+    """The model of the ids' counts: told are counts of pairs (before, after, n), in which ids that are not told apart may stand as one,
+    follow those whose second id may be outside the softmax, sent those to look up."""
     h, i = len(heads), len(inputs)
     symbol, given = np.full(2**17, h), np.full(2**17, i)
     symbol[heads], given[inputs] = np.arange(h), np.arange(i)
     grid = np.zeros((i + 1, h + 1))
-    np.add.at(grid, (given[before], symbol[after]), n)
+    np.add.at(grid, (given[told[0]], symbol[told[1]]), told[2])
     ends = np.bincount(given, last, i + 1)
     start = np.bincount(symbol, first, h + 1)
     grid += ends[:, None] * start[None, :] / max(1.0, start.sum())
@@ -263,11 +327,10 @@ def started(pairs: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> Model
     with np.errstate(divide="ignore"):
         rest = np.log10(rest / rest.sum())
     follows = np.zeros(2**17)
-    np.add.at(follows, before[out[after]], n[out[after]])
+    np.add.at(follows, follow[0][out[follow[1]]], follow[2][out[follow[1]]])
     follows += last * first[out].sum() / max(1.0, first.sum())
     draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    order = np.argsort(pairs[inside], kind="stable")
-    return Model(heads, inputs, np.log(grid).astype(np.float32), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), np.zeros((WIDTH, h + 1), np.float32), np.zeros((HEADS, 2 * BLOCK), np.float32), pairs[inside][order], n[order], first, last, rest, follows)
+    return Model(heads, inputs, np.log(grid).astype(np.float32), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), np.zeros((WIDTH, h + 1), np.float32), np.zeros((HEADS, 2 * BLOCK), np.float32), *sent, first, last, rest, follows, whole)
 
 
 def train(model: Model, ids: list[np.ndarray], seed: int = 0, epochs: int = 3, rate: float = 0.01, size: int = 256) -> Model:
@@ -325,11 +388,8 @@ def train(model: Model, ids: list[np.ndarray], seed: int = 0, epochs: int = 3, r
 
 def fit(docs: DataFrame, table: DataFrame, tokenizer: str) -> Model:
     """The model of the texts t (keys k) of docs, whose counts are in table."""
-    few, _ = most_frequent(table.where("kind = 1").select("key", "n"), SENT_PAIRS)
-    few = few.toArrow().to_pandas().sort_values("key")
     ends = table.where(f"kind = 0 AND key = {_END_HASH}").agg(F.sum("n")).first()[0] or 0
-    pairs = np.concatenate([few["key"].to_numpy(np.int64), [NONE << 17 | END, END << 17 | NONE]])
-    model = started(pairs, np.concatenate([few["n"].to_numpy(np.int64), [ends, ends]]), np.random.default_rng(0))
+    model = gathered(table, ends, np.random.default_rng(0))
     encoder = bpe.load(tokenizer)
     texts = sorted((str(r["k"]), r["t"]) for r in bounded_sample(docs.where("t IS NOT NULL"), "k", SAMPLE, "lm").toLocalIterator())
     ids, total = [], 0
@@ -345,8 +405,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     One pass counts the words of all rows that are not held out; a bounded sample of those rows trains the attention; a second pass
-    scores whole texts, in windows, and looks up words. Counts of the most frequent words (SENT_WORDS, a size bound) are broadcast;
-    rarer words are joined to their counts by shuffle, so base_score is exact for any vocabulary. Null texts are empty: one token, the
+    scores whole texts, in windows, and looks up words. Counts of the most frequent words and pairs of ids (SENT_WORDS, SENT_PAIRS, size
+    bounds) are broadcast; rarer ones are joined to their counts by shuffle, so base_score and score do not depend on the bounds. Null texts are empty: one token, the
     end. Null keys are never held out. Rows that repeat are scored each. An empty table gives no rows.
     """
     tokenizer = tokenizer or tokenizer_path()
@@ -400,7 +460,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
                 seen = own[own >= 0]
                 out.append((len(w), int((seen > 0).sum()), float(np.log10(seen + _SMOOTH).sum()), hashes[w[:-1][own < 0]]))
             n_tokens, n_known, sums, rare = zip(*out, strict=True)
-            return pd.DataFrame({"k": [r[0] for r in rows], "n_tokens": n_tokens, "n_known": n_known, "sums": sums, "rare": pd.Series(rare, dtype=object), "score": scorer.texts(parts)})
+            score, pairs, bases = scorer.looked_up(parts)
+            return pd.DataFrame({"k": [r[0] for r in rows], "n_tokens": n_tokens, "n_known": n_known, "sums": sums, "rare": pd.Series(rare, dtype=object), "score": score, "pairs": pd.Series(pairs, dtype=object), "bases": pd.Series(bases, dtype=object)})
 
         for batch in batches:
             rows = list(zip(batch["k"].astype(object).where(batch["k"].notna(), None).tolist(), batch["t"].tolist(), strict=True))
@@ -408,12 +469,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
                 yield given(rows[lo : lo + 256])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = texts.mapInPandas(run, f"k {kind}, n_tokens long, n_known long, sums double, rare array<long>, score double")
+    scored = texts.mapInPandas(run, f"k {kind}, n_tokens long, n_known long, sums double, rare array<long>, score double, pairs array<long>, bases array<double>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
     ends = float(vocabulary.where(f"key = {_END_HASH}").agg(F.sum("n")).first()[0] or 0)
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     rare = rare.join(vocabulary, "key", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(_SMOOTH))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"))
     out = scored.join(rare, "row", "left") if not whole else scored.withColumn("more", F.lit(0.0)).withColumn("also", F.lit(0))
+    if not model.whole:
+        pair = scored.select("row", F.explode(F.arrays_zip("pairs", "bases")).alias("p")).select("row", F.col("p.pairs").alias("key"), F.col("p.bases").alias("base"))
+        pair = pair.groupBy("row", "key").agg(F.count("*").alias("times"), F.max("base").alias("base"))
+        pair = pair.join(table.where("kind = 1").select("key", "n"), "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(1 + F.col("n") / F.col("base"))).alias("pairs_more"))
+        out = out.join(pair, "row", "left").withColumn("score", F.col("score") + F.coalesce("pairs_more", F.lit(0.0)))
     scale = float(np.log10(total + _SMOOTH * (distinct + 1)))
     base = F.col("sums") + F.coalesce("more", F.lit(0.0)) + F.lit(float(np.log10(ends + _SMOOTH))) - F.col("n_tokens") * F.lit(scale)
     known = F.col("n_known") + F.coalesce("also", F.lit(0)) + F.lit(int(ends > 0))

@@ -61,6 +61,13 @@ def test_scoring_joins_the_words_that_are_not_sent(docs, monkeypatch):
         assert r["n_known"] == want[r["doc_id"]]["n_known"] and abs(r["base_score"] - want[r["doc_id"]]["base_score"]) < 1e-6
 
 
+def test_scoring_joins_the_pairs_that_are_not_sent(docs, monkeypatch):
+    want = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "SENT_PAIRS", 50)
+    for r in lm_scoring.score(docs).collect():
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-5)
+
+
 def test_attention_windows_score_each_id_once_and_causally():
     rng = np.random.default_rng(0)
     pairs = {(int(a), int(b)): int(n) for a, b, n in zip(*rng.integers(0, 300, (2, 4000)), rng.integers(1, 9, 4000))}
