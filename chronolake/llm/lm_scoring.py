@@ -2,15 +2,16 @@
 
 The model. A text is its lower-cased words, each the byte-level BPE ids of a space and the word, then one end. The next id's logits are
 a direct path from the id before it (a table of corpus counts, all training documents) plus what two attention heads gather from up to
-15 ids before it, which is trained. The softmax covers the most frequent ids and one class for all others, whose members follow from
+15 ids before it, which is trained: on a sample first, then by all executors on all training documents. The softmax covers the most frequent ids and one class for all others, whose members follow from
 corpus counts, so that every text has a probability above 0.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_sample, held_out, words, written
+from .common import bounded_sample, held_out, releasing, words, written
 from .packing import tokenizer_path
 
 #: Ids that the softmax tells apart, ids that embeddings tell apart, width, heads.
 OUTPUTS, INPUTS, WIDTH, HEADS = 160, 2048, 16, 2
 #: Each block of BLOCK ids is scored in a window of it and the block before.
 BLOCK = 8
-#: Documents that the attention is trained on, at most (about), and ids of them. Counts cover all training documents, whatever their number.
+#: Documents that the attention's training starts on, at most (about), and ids of them. It goes on over all training documents.
 SAMPLE, SAMPLE_IDS = 3000, 1_200_000
 #: Words and id pairs that are sent to every worker, at most: the most frequent. Rarer words and pairs are looked up by joins.
 SENT_WORDS, SENT_PAIRS = 1_000_000, 400_000
@@ -34,7 +35,7 @@ SENT_WORDS, SENT_PAIRS = 1_000_000, 400_000
 REMEMBERED = 600_000
 #: Blocks whose windows are computed at once; few, so that their logits stay in the processor's cache.
 BATCH = 128
-#: The end, as an id and as a word's hash; also what stands before a text's first id.
+#: The end, as an id and as a word's hash; also what stands before a text's first id. NONE stands for ids that are not told apart.
 END, NONE = 2**17 - 1, 2**17 - 2
 _END_HASH = -1
 _SMOOTH, _BACK = 0.1, 2.0
@@ -46,42 +47,85 @@ def _hash(word: bytes) -> int:
     return (h - 2**64 if h >= 2**63 else h) if h != 2**64 - 1 else 0
 
 
-def _pairs(tokenizer: bpe.ByteBPE, seen: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids inside words, NONE before the first and after the last, with the words' counts; sorted and distinct."""
-    ids, opens = tokenizer.encode_words(seen)
-    word = np.cumsum(opens) - 1
-    before = np.where(opens, NONE, np.concatenate([[NONE], ids[:-1]]))
-    last = np.flatnonzero(np.append(opens[1:], True))
-    pairs = np.concatenate([before << 17 | ids, ids[last] << 17 | NONE])
+class _Numbers(dict):
+    """Numbers of words, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _summed(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and their counts."""
     distinct, at = np.unique(pairs, return_inverse=True)
-    return distinct, np.bincount(at, np.concatenate([n[word], n[word[last]]]), len(distinct)).astype(np.int64)
+    return distinct, np.bincount(at, n, len(distinct)).astype(np.int64)
+
+
+class _Counter:
+    """Counts of words and of pairs of ids that follow each other, inside words, from one word to the next, and at both ends of a text."""
+
+    def __init__(self, encoder: bpe.ByteBPE):
+        self.encoder, self.number, self.texts = encoder, _Numbers(), 0
+        self.n, self.ends = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)  # by a word's number: count; first and last id
+        self.inside: list[tuple[np.ndarray, np.ndarray]] = []  # of the words that came together: each pair of ids and its word's number
+        self.across, self.waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [np.zeros(0, np.int64)]
+
+    def add(self, texts: list[list[bytes]]) -> None:
+        self.texts += len(texts)
+        w = np.fromiter((self.number[x] for t in texts for x in t), np.int64)
+        new = list(islice(reversed(self.number), len(self.number) - self.n.size))[::-1]
+        if new:
+            ids, opens = self.encoder.encode_words(new)
+            ids = np.asarray(ids, np.int64)
+            starts, stops = np.flatnonzero(opens), np.flatnonzero(np.append(opens[1:], True))
+            at = np.flatnonzero(~np.asarray(opens, bool))
+            self.inside.append((ids[at - 1] << 17 | ids[at], (np.cumsum(opens) - 1)[at] + self.n.size))
+            self.ends = np.concatenate([self.ends, np.stack([ids[starts], ids[stops]])], axis=1)
+            self.n = np.append(self.n, np.zeros(len(new), np.int64))
+        self.n += np.bincount(w, minlength=self.n.size)
+        lengths = np.array([len(t) for t in texts])
+        at = np.cumsum(lengths + 1) - 1  # where a text ends
+        first, last = np.full(len(w) + len(texts), END), np.full(len(w) + len(texts), END)
+        word = np.ones(len(first), bool)
+        word[at] = False
+        first[word], last[word] = self.ends[0, w], self.ends[1, w]
+        self.waiting.append(np.concatenate([[END], last[:-1]]) << 17 | first)
+        if sum(map(len, self.waiting)) > 1_000_000:
+            self.merge()
+
+    def merge(self) -> None:
+        pairs = np.concatenate([self.across[0], *self.waiting])
+        self.across, self.waiting = _summed(pairs, np.concatenate([self.across[1], np.ones(len(pairs) - len(self.across[0]), np.int64)])), []
+
+    def full(self) -> bool:
+        return len(self.number) >= REMEMBERED or len(self.across[0]) >= 4 * REMEMBERED
+
+    def told(self) -> pd.DataFrame:
+        """(kind, key, n) of all that was added; nothing is left."""
+        self.merge()
+        pairs = [_summed(p, self.n[w]) for p, w in self.inside]
+        pairs = _summed(np.concatenate([self.across[0], *[p[0] for p in pairs]]), np.concatenate([self.across[1], *[p[1] for p in pairs]]))
+        key = np.concatenate([np.array([*map(_hash, self.number), _END_HASH], np.int64), pairs[0]])
+        n = np.concatenate([self.n, [self.texts], pairs[1]])
+        out = pd.DataFrame({"kind": (np.arange(len(key)) > len(self.number)).astype(np.int32), "key": key, "n": n})
+        self.__init__(self.encoder)
+        return out
 
 
 def counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(kind, key, n) over all texts t of docs. kind 0: word (hash) and end; 1: pair of ids, before << 17 | id, inside words, with NONE
-    before a word's first id and after its last. Words are counted in each task before anything is shuffled."""
+    """(kind, key, n) over all texts t of docs. kind 0: word (hash) and end; 1: pair of ids, before << 17 | id, END standing before a
+    text's first id and after its last. Both are counted in each task before anything is shuffled."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = bpe.load(tokenizer)
-        seen: Counter = Counter()
-        texts = 0
-
-        def told(ends: int) -> pd.DataFrame:
-            found, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
-            seen.clear()
-            parts = [_pairs(encoder, found[lo : lo + 20_000], n[lo : lo + 20_000]) for lo in range(0, len(found), 20_000)]
-            key = np.concatenate([np.array([*map(_hash, found), _END_HASH], np.int64), *[p[0] for p in parts]])
-            n = np.concatenate([n, [ends], *[p[1] for p in parts]])
-            return pd.DataFrame({"kind": (np.arange(len(key)) > len(found)).astype(np.int32), "key": key, "n": n})
-
+        counter = _Counter(bpe.load(tokenizer))
         for batch in batches:
-            for t in batch["t"].tolist():
-                seen.update(words(t))
-                texts += 1
-                if len(seen) >= REMEMBERED:
-                    yield told(0)
-        yield told(texts)
+            texts = batch["t"].tolist()
+            for lo in range(0, len(texts), 256):
+                counter.add([words(t) for t in texts[lo : lo + 256]])
+                if counter.full():
+                    yield counter.told()
+        yield counter.told()
 
-    return docs.mapInPandas(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0")
+    return docs.mapInPandas(releasing(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def most_frequent(table: DataFrame, bound: int) -> tuple[DataFrame, bool]:
@@ -109,8 +153,6 @@ class Model:
     near: np.ndarray  # (HEADS, 2 * BLOCK): bias by distance
     pairs: np.ndarray  # sorted; counts of pairs of ids
     pair_n: np.ndarray
-    first: np.ndarray  # (2**17) counts of ids after a word's end
-    last: np.ndarray  # (2**17) counts of ids before one
     rest: np.ndarray  # (2**17) log10 share of an id among those outside the softmax
     rest_pairs: np.ndarray  # (2**17) how often an id outside the softmax follows
     whole: bool = True  # whether pairs has all pairs whose second id is outside the softmax
@@ -234,7 +276,7 @@ class Scorer:
         unsent = ~self.sent(b << 17 | t)[1]
         text = np.broadcast_to((np.cumsum(first) - 1)[:, None], rare.shape)[rare][unsent]
         cut = np.searchsorted(text, np.arange(1, len(ids)))
-        return score, np.split((b << 17 | t)[unsent], cut), np.split(self.base(b, t)[unsent], cut)
+        return score, np.split((b << 17 | t)[unsent], cut), np.split(self.base(t)[unsent], cut)
 
     def sent(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the pairs, 0 where not among those sent; and which are."""
@@ -245,15 +287,14 @@ class Scorer:
         found = m.pairs[at] == pair
         return np.where(found, m.pair_n[at], 0.0), found
 
-    def base(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """What a pair's count is added to: what its ids' own counts let expect."""
-        m = self.m
-        return m.last[before] * m.first[target] / max(1.0, m.first.sum()) + _BACK * 10.0 ** m.rest[target]
+    def base(self, target: np.ndarray) -> np.ndarray:
+        """What a pair's count is added to: what its second id's own count lets expect."""
+        return _BACK * 10.0 ** self.m.rest[target]
 
     def others(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 P(id | the id before, an id outside the softmax): counts of the pair, backed by the id's share."""
         n, _ = self.sent(before << 17 | target)
-        return np.log10((n + self.base(before, target)) / (np.maximum(self.m.rest_pairs[before], 0) + _BACK))
+        return np.log10((n + self.base(target)) / (np.maximum(self.m.rest_pairs[before], 0) + _BACK))
 
 
 def ranked(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,50 +306,35 @@ def ranked(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def started(pairs: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> Model:
     """The model before training, of counts of pairs of ids that are all at hand."""
-    before, after = pairs >> 17, pairs & (2**17 - 1)
-    n = n.astype(np.float64)
-    first, last = np.zeros(2**17), np.zeros(2**17)
-    np.add.at(first, after[before == NONE], n[before == NONE])
-    np.add.at(last, before[after == NONE], n[after == NONE])
-    inside = (before != NONE) & (after != NONE)
-    before, after, n = before[inside], after[inside], n[inside]
-    count = first.copy()
-    np.add.at(count, after, n)
-    heads, inputs = ranked(count)
-    order = np.argsort(pairs[inside], kind="stable")
-    return assembled(first, last, count, heads, inputs, (before, after, n), (before, after, n), (pairs[inside][order], n[order]), True, rng)
+    before, after, n = pairs >> 17, pairs & (2**17 - 1), n.astype(np.float64)
+    count = np.bincount(after, n, 2**17)
+    order = np.argsort(pairs, kind="stable")
+    return assembled(count, *ranked(count), (before, after, n), (before, after, n), (pairs[order], n[order]), True, rng)
 
 
-def gathered(table: DataFrame, ends: int, rng: np.random.Generator) -> Model:
+def gathered(table: DataFrame, rng: np.random.Generator) -> Model:
     """The model before training. What it needs of the pairs is summed in Spark over the whole table, to a row an id, or a row of two ids
     that are told apart; of the pairs themselves, those that scoring looks up most often are brought here."""
     before, after = F.shiftright("key", 17), F.col("key").bitwiseAND(F.lit(2**17 - 1))
     pairs = table.where("kind = 1").select("key", before.alias("before"), after.alias("after"), "n")
-    inside = pairs.where(f"before <> {NONE} AND after <> {NONE}")
 
     def summed(rows: DataFrame, *by: str) -> list[np.ndarray]:
         got = rows.groupBy(*by).agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values(list(by))
         return [*[got[c].to_numpy(np.int64) for c in by], got["n"].to_numpy(np.float64)]
 
-    def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        out = np.zeros(2**17)
-        out[at] = n
-        return out
-
-    first, last = spread(*summed(pairs.where(f"before = {NONE}"), "after")), spread(*summed(pairs.where(f"after = {NONE}"), "before"))
-    first[END], last[END] = ends, ends
-    count = first + spread(*summed(inside, "after"))
+    at, n = summed(pairs, "after")
+    count = np.bincount(at, n, 2**17)
     heads, inputs = ranked(count)
     among = lambda c, ids: F.expr(f"{c} IN ({', '.join(map(str, [-1, *ids.tolist()]))})")
-    told = inside.select(F.when(among("before", inputs), F.col("before")).otherwise(NONE).alias("before"), F.when(among("after", heads), F.col("after")).otherwise(NONE).alias("after"), "n")
-    rare = inside.where(~among("after", heads))
+    told = pairs.select(F.when(among("before", inputs), F.col("before")).otherwise(NONE).alias("before"), F.when(among("after", heads), F.col("after")).otherwise(NONE).alias("after"), "n")
+    rare = pairs.where(~among("after", heads))
     follows = summed(rare, "before")
     few, whole = most_frequent(rare.select("key", "n"), SENT_PAIRS)
     few = few.toArrow().to_pandas().sort_values("key")
-    return assembled(first, last, count, heads, inputs, tuple(summed(told, "before", "after")), (follows[0], np.full(len(follows[0]), NONE), follows[1]), (few["key"].to_numpy(np.int64), few["n"].to_numpy(np.float64)), whole, rng)
+    return assembled(count, heads, inputs, tuple(summed(told, "before", "after")), (follows[0], np.full(len(follows[0]), NONE), follows[1]), (few["key"].to_numpy(np.int64), few["n"].to_numpy(np.float64)), whole, rng)
 
 
-def assembled(first: np.ndarray, last: np.ndarray, count: np.ndarray, heads: np.ndarray, inputs: np.ndarray, told: tuple, follow: tuple, sent: tuple, whole: bool, rng: np.random.Generator) -> Model:
+def assembled(count: np.ndarray, heads: np.ndarray, inputs: np.ndarray, told: tuple, follow: tuple, sent: tuple, whole: bool, rng: np.random.Generator) -> Model:
     """The model of the ids' counts: told are counts of pairs (before, after, n), in which ids that are not told apart may stand as one,
     follow those whose second id may be outside the softmax, sent those to look up."""
     h, i = len(heads), len(inputs)
@@ -316,9 +342,6 @@ def assembled(first: np.ndarray, last: np.ndarray, count: np.ndarray, heads: np.
     symbol[heads], given[inputs] = np.arange(h), np.arange(i)
     grid = np.zeros((i + 1, h + 1))
     np.add.at(grid, (given[told[0]], symbol[told[1]]), told[2])
-    ends = np.bincount(given, last, i + 1)
-    start = np.bincount(symbol, first, h + 1)
-    grid += ends[:, None] * start[None, :] / max(1.0, start.sum())
     share = np.bincount(symbol, count, h + 1) + _SMOOTH
     grid = (grid + 20 * share / share.sum()) / (grid.sum(1, keepdims=True) + 20)
     out = np.ones(2**17, bool)
@@ -328,9 +351,8 @@ def assembled(first: np.ndarray, last: np.ndarray, count: np.ndarray, heads: np.
         rest = np.log10(rest / rest.sum())
     follows = np.zeros(2**17)
     np.add.at(follows, follow[0][out[follow[1]]], follow[2][out[follow[1]]])
-    follows += last * first[out].sum() / max(1.0, first.sum())
     draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return Model(heads, inputs, np.log(grid).astype(np.float32), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), np.zeros((WIDTH, h + 1), np.float32), np.zeros((HEADS, 2 * BLOCK), np.float32), *sent, first, last, rest, follows, whole)
+    return Model(heads, inputs, np.log(grid).astype(np.float32), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), draw(i + 2, WIDTH), np.zeros((WIDTH, h + 1), np.float32), np.zeros((HEADS, 2 * BLOCK), np.float32), *sent, rest, follows, whole)
 
 
 def train(model: Model, ids: list[np.ndarray], seed: int = 0, epochs: int = 3, rate: float = 0.01, size: int = 256) -> Model:
@@ -342,54 +364,127 @@ def train(model: Model, ids: list[np.ndarray], seed: int = 0, epochs: int = 3, r
     target, before, first = blocks(ids)
     symbol, given, previous = scorer.numbers(target, before, first)
     model.out[:] = rng.normal(0, 0.1, model.out.shape)
-    names = ["query", "key", "value", "own", "out", "near"]
-    state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in names}
-    steps, t, d = epochs * -(-len(target) // size), 0, WIDTH // HEADS
-    away = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
-    merge = lambda x: x.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
-
-    def added(at: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(model.own), WIDTH), np.float32)
-        np.add.at(out, at.reshape(-1), x)
-        return out
-
+    steps = epochs * -(-len(target) // size)
+    adam = Adam(model)
     for _ in range(epochs):
         order = rng.permutation(len(target))
         for lo in range(0, len(order), size):
             part = order[lo : lo + size]
-            g, real = given[part], (target[part] >= 0).reshape(-1)
-            hidden, q, k, v, a, keys = model.attend(g, previous[part], model.mask())
-            hidden = hidden.reshape(-1, WIDTH)
-            p = hidden @ model.out + model.direct[np.minimum(g, len(model.inputs)).reshape(-1)]
-            p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), symbol[part].reshape(-1)] -= 1
-            p[~real] = 0
-            p /= max(1, real.sum())
-            back = p @ model.out.T
-            o = back.reshape(len(part), BLOCK, HEADS, d).transpose(0, 2, 1, 3)
-            da = o @ v.transpose(0, 1, 3, 2)
-            ds = a * (da - (da * a).sum(3, keepdims=True))
-            near = np.zeros_like(model.near)
-            for h in range(HEADS):
-                near[h] = np.bincount(away.reshape(-1), ds[:, h].sum(0).reshape(-1), 2 * BLOCK)
-            ds = ds * np.float32(d**-0.5)
-            grads = {"query": added(g, merge(ds @ k)), "key": added(keys, merge(ds.transpose(0, 1, 3, 2) @ q)), "value": added(keys, merge(a.transpose(0, 1, 3, 2) @ o)), "own": added(g, back), "out": hidden.T @ p, "near": near}
-            t += 1
-            pace = rate * (1 - 0.9 * t / steps) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-            for name, x in grads.items():
-                m, s = state[name]
-                m += np.float32(0.1) * (x - m)
-                s += np.float32(0.01) * (x * x - s)
-                getattr(model, name)[...] -= np.float32(pace) * m / (np.sqrt(s) + np.float32(1e-8))
+            adam.step(target[part], symbol[part], given[part], previous[part], rate * (1 - 0.9 * (adam.t + 1) / steps))
+    return model
+
+
+#: What training changes.
+TRAINED = ["query", "key", "value", "own", "out", "near"]
+#: Blocks to a step in the pass over all training documents, and its pace.
+STEP, PACE = 512, 0.002
+
+
+class Adam:
+    """Steps of Adam on the attention, its embeddings and their output weights."""
+
+    def __init__(self, model: Model):
+        self.model, self.t = model, 0
+        self.state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in TRAINED}
+
+    def step(self, target: np.ndarray, symbol: np.ndarray, g: np.ndarray, previous: np.ndarray, rate: float) -> None:
+        model, d = self.model, WIDTH // HEADS
+        away = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
+        merge = lambda x: x.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
+
+        def added(at: np.ndarray, x: np.ndarray) -> np.ndarray:
+            cell = at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+            return np.bincount(cell.reshape(-1), x.reshape(-1), len(model.own) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+
+        real = (target >= 0).reshape(-1)
+        hidden, q, k, v, a, keys = model.attend(g, previous, model.mask())
+        hidden = hidden.reshape(-1, WIDTH)
+        p = hidden @ model.out + model.direct[np.minimum(g, len(model.inputs)).reshape(-1)]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(p)), symbol.reshape(-1)] -= 1
+        p[~real] = 0
+        p /= max(1, real.sum())
+        back = p @ model.out.T
+        o = back.reshape(len(g), BLOCK, HEADS, d).transpose(0, 2, 1, 3)
+        da = o @ v.transpose(0, 1, 3, 2)
+        ds = a * (da - (da * a).sum(3, keepdims=True))
+        near = np.zeros_like(model.near)
+        for h in range(HEADS):
+            near[h] = np.bincount(away.reshape(-1), ds[:, h].sum(0).reshape(-1), 2 * BLOCK)
+        ds = ds * np.float32(d**-0.5)
+        grads = {"query": added(g, merge(ds @ k)), "key": added(keys, merge(ds.transpose(0, 1, 3, 2) @ q)), "value": added(keys, merge(a.transpose(0, 1, 3, 2) @ o)), "own": added(g, back), "out": hidden.T @ p, "near": near}
+        self.t += 1
+        pace = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        for name, x in grads.items():
+            m, s = self.state[name]
+            m += np.float32(0.1) * (x - m)
+            s += np.float32(0.01) * (x * x - s)
+            getattr(model, name)[...] -= np.float32(pace) * m / (np.sqrt(s) + np.float32(1e-8))
+
+
+def refined(docs: DataFrame, model: Model, tokenizer: str) -> Model:
+    """The model after a pass over all texts t of docs: each task goes on training its own copy on the documents it reads, and the
+    copies' mean, weighted by their ids, is taken, first in about as many tasks as the root of their number."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sizes = [getattr(model, k).size for k in TRAINED]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the broadcast value may be another task's too
+        model = Model(**{f.name: v.copy() if (v := getattr(sent.value, f.name)) is not None and f.name in TRAINED else v for f in fields(Model)})
+        encoder, scorer, adam = bpe.load(tokenizer), Scorer(model), Adam(model)
+        n, held = 0, []
+        known: dict[bytes, np.ndarray] = {}
+
+        def learn(texts: list[list[bytes]]) -> int:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            new = [w for w in set().union(*texts) if w not in known]
+            if new:
+                ids, opens = encoder.encode_words(new)
+                known.update(zip(new, np.split(np.asarray(ids, np.int64), np.flatnonzero(opens)[1:]), strict=True))
+            ids = [np.concatenate([*[known[w] for w in t], [END]]) for t in texts]
+            target, before, first = blocks(ids)
+            symbol, given, previous = scorer.numbers(target, before, first)
+            order = np.random.default_rng(len(target)).permutation(len(target))
+            for lo in range(0, len(order), STEP):
+                part = order[lo : lo + STEP]
+                # a small last step weighs as little as it holds
+                adam.step(target[part], symbol[part], given[part], previous[part], PACE * len(part) / STEP)
+            return sum(map(len, ids))
+
+        for batch in batches:
+            for t in batch["t"].tolist():
+                held.append(words(t))
+                if len(held) == 128:
+                    n, held = n + learn(held), []
+        if held:
+            n += learn(held)
+        if n:
+            yield pd.DataFrame({"n": [float(n)], "x": [(np.concatenate([getattr(model, k).reshape(-1) for k in TRAINED]).astype(np.float64) * n).tobytes()]})
+
+    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, x = 0.0, np.zeros(sum(sizes))
+        for batch in batches:
+            for k, raw in zip(batch["n"].tolist(), batch["x"].tolist(), strict=True):
+                n, x = n + k, x + np.frombuffer(raw)
+        yield pd.DataFrame({"n": [n], "x": [x.tobytes()]})
+
+    copies = written(docs.mapInPandas(releasing(run), "n double, x binary"))
+    few = copies.repartition(max(1, math.isqrt(copies.count()))).mapInPandas(mean, copies.schema)
+    n, x = 0.0, np.zeros(sum(sizes))
+    for r in few.toLocalIterator():
+        n, x = n + r["n"], x + np.frombuffer(r["x"])
+    if n:
+        for k, part in zip(TRAINED, np.split(x / n, np.cumsum(sizes)[:-1]), strict=True):
+            getattr(model, k)[...] = part.reshape(getattr(model, k).shape)
     return model
 
 
 def fit(docs: DataFrame, table: DataFrame, tokenizer: str) -> Model:
     """The model of the texts t (keys k) of docs, whose counts are in table."""
-    ends = table.where(f"kind = 0 AND key = {_END_HASH}").agg(F.sum("n")).first()[0] or 0
-    model = gathered(table, ends, np.random.default_rng(0))
+    model = gathered(table, np.random.default_rng(0))
     encoder = bpe.load(tokenizer)
     texts = sorted((str(r["k"]), r["t"]) for r in bounded_sample(docs.where("t IS NOT NULL"), "k", SAMPLE, "lm").toLocalIterator())
     ids, total = [], 0
@@ -398,13 +493,14 @@ def fit(docs: DataFrame, table: DataFrame, tokenizer: str) -> Model:
             break
         ids.append(np.append(encoder.encode_words(words(texts[i][1]))[0], END))
         total += len(ids[-1])
-    return train(model, ids)
+    return refined(docs, train(model, ids), tokenizer)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, tokenizer: str | None = None) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
-    One pass counts the words of all rows that are not held out; a bounded sample of those rows trains the attention; a second pass
+    One pass counts the words of all rows that are not held out, and pairs of ids; a bounded sample of those rows starts the training of
+    the attention, and a second pass over all of them goes on with it; a third pass
     scores whole texts, in windows, and looks up words. Counts of the most frequent words and pairs of ids (SENT_WORDS, SENT_PAIRS, size
     bounds) are broadcast; rarer ones are joined to their counts by shuffle, so base_score and score do not depend on the bounds. Null texts are empty: one token, the
     end. Null keys are never held out. Rows that repeat are scored each. An empty table gives no rows.

@@ -68,6 +68,25 @@ def test_scoring_joins_the_pairs_that_are_not_sent(docs, monkeypatch):
         assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-5)
 
 
+def test_scoring_counts_and_trains_on_all_documents(spark, docs):
+    path = packing.tokenizer_path()
+    texts = docs.select("doc_id", F.col("text").alias("t")).orderBy("doc_id").limit(60).collect() + [(1000, None), (1001, "")]
+    frame = spark.createDataFrame([tuple(r) for r in texts], "k long, t string").repartition(3)
+    want = Counter()
+    for _, t in texts:
+        ids = [lm_scoring.END, *bpe.load(path).encode_words(common.words(t))[0], lm_scoring.END]
+        want.update(int(a) << 17 | int(b) for a, b in zip(ids, ids[1:]))
+    table = lm_scoring.counts(frame, path)
+    assert {r["key"]: r["n"] for r in table.where("kind = 1").collect()} == want
+    model = lm_scoring.gathered(table, np.random.default_rng(0))
+    model.out[:] = np.random.default_rng(1).normal(0, 0.1, model.out.shape)
+    start = model.own.copy()
+    model = lm_scoring.refined(frame, model, path)
+    symbol, given = model.tables()
+    seen = {int(given[k >> 17]) for k in want}  # every id of every document, but none else, has learnt
+    assert {int(i) for i in np.flatnonzero((model.own != start).any(1))} - {len(model.own) - 1} == seen - {len(model.own) - 1}
+
+
 def test_attention_windows_score_each_id_once_and_causally():
     rng = np.random.default_rng(0)
     pairs = {(int(a), int(b)): int(n) for a, b, n in zip(*rng.integers(0, 300, (2, 4000)), rng.integers(1, 9, 4000))}
