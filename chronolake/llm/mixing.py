@@ -132,8 +132,6 @@ def mix(docs: DataFrame, target: Target, budget: int | None = None, key: str = "
 
 #: No source is used more than this many times as often as the one used least.
 REPETITION = 4.0
-#: In the pipeline, where every copy is carried with its text.
-PIPELINE_REPETITION = 1.5
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,5 +141,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, repeated so that sources meet their weights; every document stays at least once."""
-    return mix(docs, Target(repetition=PIPELINE_REPETITION)).select(*docs.columns)
+    """Documents, repeated so that sources meet their weights, in the order that interleaves them; every document stays at least once."""
+    mixed = mix(docs, Target(repetition=REPETITION))
+    return mixed.repartitionByRange("_order").sortWithinPartitions("_order").select(*docs.columns)

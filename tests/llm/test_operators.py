@@ -305,6 +305,20 @@ def test_mixing(spark, docs, odd, empty):
     assert 0.4 < half / t.sum() < 0.62
 
 
+def test_mixing_stage_interleaves_and_meets_the_target(spark, tmp_path):
+    source = F.expr("CASE WHEN id < 4000 THEN 'a' WHEN id < 7900 THEN 'b' ELSE 'c' END")
+    lying = spark.range(0, 8000, 1, 4).select(F.col("id").alias("doc_id"), F.lit("some words of text").alias("text"), F.lit("en").alias("lang"), source.alias("source"), F.lit(18).cast("long").alias("n_chars"))
+    mixing.stage(spark, lying, DIR).write.parquet(f"file://{tmp_path}/mixed")
+    rows = spark.read.parquet(f"file://{tmp_path}/mixed").select("doc_id", "source", F.input_file_name().alias("file")).collect()
+    used, files = Counter(r["source"] for r in rows), defaultdict(list)
+    assert len({r["doc_id"] for r in rows}) == 8000 and used["a"] == 4000 and 3.5 <= used["c"] / 100 <= 4.1
+    for r in rows:
+        files[r["file"]].append(r["source"])
+    for got in files.values():  # input lying source by source comes out mixed, in every part of every file
+        for lo in range(0, len(got) - 999, 500):
+            assert {"a", "b"} <= set(got[lo : lo + 1000])
+
+
 def test_packing_is_an_exact_round_trip(spark, docs, odd, empty):
     both = docs.unionByName(odd)
     pieces = packing.pack(both.repartition(12).withColumn("length", F.lit("clash")), packing.tokenizer_path()).collect()
