@@ -2,7 +2,7 @@
 
 The model. A text is its lower-cased words, each the byte-level BPE ids of a space and the word, then one end. The next id's logits are
 a direct path from the id before it (a table of corpus counts, all training documents) plus what two attention heads gather from up to
-15 ids before it, which is trained: on a sample first, then by all executors on all training documents. The softmax covers the most frequent ids and one class for all others, whose members follow from
+31 ids before it, which is trained: on a sample first, then by all executors on all training documents. The softmax covers the most frequent ids and one class for all others, whose members follow from
 corpus counts, so that every text has a probability above 0.
 """
 
@@ -24,9 +24,9 @@ from .common import bounded_sample, held_out, releasing, words, written
 from .packing import tokenizer_path
 
 #: Ids that the softmax tells apart, ids that embeddings tell apart, width, heads.
-OUTPUTS, INPUTS, WIDTH, HEADS = 160, 2048, 16, 2
+OUTPUTS, INPUTS, WIDTH, HEADS = 256, 2048, 16, 2
 #: Each block of BLOCK ids is scored in a window of it and the block before.
-BLOCK = 8
+BLOCK = 16
 #: Documents that the attention's training starts on, at most (about), and ids of them. It goes on over all training documents.
 SAMPLE, SAMPLE_IDS = 3000, 1_200_000
 #: Words and id pairs that are sent to every worker, at most: the most frequent. Rarer words and pairs are looked up by joins.
@@ -376,8 +376,8 @@ def train(model: Model, ids: list[np.ndarray], seed: int = 0, epochs: int = 3, r
 
 #: What training changes.
 TRAINED = ["query", "key", "value", "own", "out", "near"]
-#: Blocks to a step in the pass over all training documents, and its pace.
-STEP, PACE = 512, 0.002
+#: Blocks to a step in the pass over all training documents, its pace, and blocks whose gradients are computed at once, as BATCH's logits.
+STEP, PACE, CHUNK = 512, 0.002, 64
 
 
 class Adam:
@@ -386,8 +386,23 @@ class Adam:
     def __init__(self, model: Model):
         self.model, self.t = model, 0
         self.state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in TRAINED}
+        self.p, self.more = np.empty((CHUNK * BLOCK, len(model.heads) + 1), np.float32), np.empty((CHUNK * BLOCK, len(model.heads) + 1), np.float32)
+
+    def step(self, target: np.ndarray, symbol: np.ndarray, given: np.ndarray, previous: np.ndarray, rate: float) -> None:
+        grads, real = {k: np.zeros_like(getattr(self.model, k)) for k in TRAINED}, max(1, (target >= 0).sum())
+        for lo in range(0, len(target), CHUNK):
+            part = slice(lo, lo + CHUNK)
+            for name, x in self.grads(target[part], symbol[part], given[part], previous[part], real).items():
+                grads[name] += x
+        self.t += 1
+        pace = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        for name, x in grads.items():
+            m, s = self.state[name]
+            m += np.float32(0.1) * (x - m)
+            s += np.float32(0.01) * (x * x - s)
+            getattr(self.model, name)[...] -= np.float32(pace) * m / (np.sqrt(s) + np.float32(1e-8))
 
-    def step(self, target: np.ndarray, symbol: np.ndarray, g: np.ndarray, previous: np.ndarray, rate: float) -> None:
+    def grads(self, target: np.ndarray, symbol: np.ndarray, g: np.ndarray, previous: np.ndarray, total: int) -> dict[str, np.ndarray]:
         model, d = self.model, WIDTH // HEADS
         away = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
         merge = lambda x: x.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
@@ -396,16 +411,15 @@ class Adam:
             cell = at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
             return np.bincount(cell.reshape(-1), x.reshape(-1), len(model.own) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
 
-        real = (target >= 0).reshape(-1)
         hidden, q, k, v, a, keys = model.attend(g, previous, model.mask())
         hidden = hidden.reshape(-1, WIDTH)
-        p = hidden @ model.out + model.direct[np.minimum(g, len(model.inputs)).reshape(-1)]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
+        p = np.matmul(hidden, model.out, out=self.p[: len(hidden)])
+        p += np.take(model.direct, g.reshape(-1), axis=0, out=self.more[: len(hidden)], mode="clip")  # padding's row does not matter
+        np.exp(p, out=p)  # as in Scorer.texts, they do not overflow
+        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
         p[np.arange(len(p)), symbol.reshape(-1)] -= 1
-        p[~real] = 0
-        p /= max(1, real.sum())
+        p[(target < 0).reshape(-1)] = 0
+        p /= np.float32(total)
         back = p @ model.out.T
         o = back.reshape(len(g), BLOCK, HEADS, d).transpose(0, 2, 1, 3)
         da = o @ v.transpose(0, 1, 3, 2)
@@ -414,14 +428,7 @@ class Adam:
         for h in range(HEADS):
             near[h] = np.bincount(away.reshape(-1), ds[:, h].sum(0).reshape(-1), 2 * BLOCK)
         ds = ds * np.float32(d**-0.5)
-        grads = {"query": added(g, merge(ds @ k)), "key": added(keys, merge(ds.transpose(0, 1, 3, 2) @ q)), "value": added(keys, merge(a.transpose(0, 1, 3, 2) @ o)), "own": added(g, back), "out": hidden.T @ p, "near": near}
-        self.t += 1
-        pace = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for name, x in grads.items():
-            m, s = self.state[name]
-            m += np.float32(0.1) * (x - m)
-            s += np.float32(0.01) * (x * x - s)
-            getattr(model, name)[...] -= np.float32(pace) * m / (np.sqrt(s) + np.float32(1e-8))
+        return {"query": added(g, merge(ds @ k)), "key": added(keys, merge(ds.transpose(0, 1, 3, 2) @ q)), "value": added(keys, merge(a.transpose(0, 1, 3, 2) @ o)), "own": added(g, back), "out": hidden.T @ p, "near": near}
 
 
 def refined(docs: DataFrame, model: Model, tokenizer: str) -> Model:
