@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import PUT
+from ..shared import written
 
 
 def versions(log: DataFrame, at: int | None = None) -> DataFrame:
@@ -51,31 +52,57 @@ def intervals(log: DataFrame) -> DataFrame:
     return log.select("user_key", F.col("seq").alias("valid_from"), F.lead("seq").over(Window.partitionBy("user_key").orderBy("seq")).alias("valid_to"), "type")
 
 
-def positions(df: DataFrame, order: list[Column], buckets: int = 64) -> DataFrame:
-    """pos: the place of each row in the global order. Rows are range-partitioned and numbered within partitions, and partitions are
-    offset by the counts before them, so no task sorts the whole table. The order must be total."""
-    spread = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    counts = spread.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a partition
-    return spread.join(F.broadcast(before), "_p").withColumn("pos", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_before")).drop("_p", "_before")
+def ordered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df in a total order, written once to the shared folder, with _p (the range a row is in) and _i (its place there, from 0).
 
+    Whatever is counted by range and joined to the rows of the range must come from the same ranges. Two plans of one range exchange may
+    sample different bounds, so the rows are written, and all that follows reads that one table. Range and place are taken as the sorted
+    partition passes by: one shuffle, and no window over a partition.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    kept = written(spread)
+    return kept.withColumn("_p", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
-def seek(keys: DataFrame, targets: DataFrame, key: str, target: str, buckets: int = 64) -> DataFrame:
-    """(target, found): the smallest key >= target, null if there is none. Both are ordered together by range, and each target takes the
-    nearest key after it in its partition, or else the first key of a later one: no pairs are made."""
+
+def positions(df: DataFrame, order: list[Column]) -> DataFrame:
+    """pos: the place of each row in the global order, from 1: its place in its range and the counts of the ranges before. The order must
+    be total; an empty table gives no rows."""
+    return _placed(ordered(df, order)).drop("_p", "_i")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a range
+    return rows.join(F.broadcast(before), "_p").withColumn("pos", F.col("_before") + F.col("_i") + 1).drop("_before")
+
+
+def adjacent(df: DataFrame, order: list[Column], column: str) -> DataFrame:
+    """df with pos, prev and next: the column's values in the rows before and after in a total order, null at the ends. Neighbours are
+    sought inside ranges; what a range's first and last rows miss comes from the ends of the ranges beside it, a row a range."""
+    rows = _placed(ordered(df, order))
+    inside, across = Window.partitionBy("_p").orderBy("_i"), Window.orderBy("_p")
+    ends = rows.groupBy("_p").agg(F.min_by(column, "_i").alias("_first"), F.max_by(column, "_i").alias("_last"), F.count("*").alias("_n"))
+    ends = ends.select("_p", "_n", F.lag("_last").over(across).alias("_left"), F.lead("_first").over(across).alias("_right"))
+    rows = rows.withColumn("prev", F.lag(column).over(inside)).withColumn("next", F.lead(column).over(inside)).join(F.broadcast(ends), "_p")
+    prev, nxt = F.when(F.col("_i") == 0, F.col("_left")).otherwise(F.col("prev")), F.when(F.col("_i") == F.col("_n") - 1, F.col("_right")).otherwise(F.col("next"))
+    return rows.withColumn("prev", prev).withColumn("next", nxt).drop("_p", "_i", "_n", "_left", "_right")
+
+
+def seek(keys: DataFrame, targets: DataFrame, key: str, target: str) -> DataFrame:
+    """(target, found): the smallest key >= target, null if there is none; a row for each distinct target. Both are ordered together by
+    range; each target takes the nearest key after it in its range, or else the first key of a later one: no pairs are made."""
     both = keys.select(F.col(key).alias("x"), F.lit(1).alias("is_key")).distinct().unionByName(targets.select(F.col(target).alias("x"), F.lit(0).alias("is_key")).distinct())
-    spread = both.repartitionByRange(buckets, "x").withColumn("_p", F.spark_partition_id())
-    firsts = spread.where("is_key = 1").groupBy("_p").agg(F.min("x").alias("first"))
-    ahead = Window.partitionBy("_p").orderBy("x", "is_key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    near = spread.withColumn("near", F.first(F.when(F.col("is_key") == 1, F.col("x")), ignorenulls=True).over(ahead)).where("is_key = 0")
-    later = firsts.agg(F.sort_array(F.collect_list(F.struct("_p", "first"))).alias("f"))  # at most `buckets` entries
-    nxt = F.try_element_at(F.filter("f", lambda f: f["_p"] > F.col("_p")), F.lit(1))["first"]
-    return near.crossJoin(F.broadcast(later)).select(F.col("x").alias("target"), F.coalesce("near", nxt).alias("found"))
-
-
-def neighbours(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """(k, prev_k, next_k) in key order, by position: an equi-join on pos - 1 and pos + 1, so no task holds the table."""
-    ordered = positions(df.select(F.col(key).alias("k")).distinct(), [F.col("k")], buckets)
-    prev = ordered.select((F.col("pos") + 1).alias("pos"), F.col("k").alias("prev_k"))
-    nxt = ordered.select((F.col("pos") - 1).alias("pos"), F.col("k").alias("next_k"))
-    return ordered.join(prev, "pos", "left").join(nxt, "pos", "left").select("k", "prev_k", "next_k")
+    rows = ordered(both, [F.col("x"), F.col("is_key")])
+    own = F.when(F.col("is_key") == 1, F.col("x"))
+    # backwards, so that the frame only grows
+    near = rows.withColumn("near", F.last(own, ignorenulls=True).over(Window.partitionBy("_p").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    firsts = rows.groupBy("_p").agg(F.min(own).alias("_first"))
+    later = firsts.select("_p", F.last("_first", ignorenulls=True).over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))  # a row a range
+    # an equal key stands before its target when read backwards
+    return near.where("is_key = 0").join(F.broadcast(later), "_p").select(F.col("x").alias("target"), F.coalesce("near", "_later").alias("found"))
+
+
+def neighbours(df: DataFrame, key: str) -> DataFrame:
+    """(k, prev_k, next_k) of the distinct keys, in key order."""
+    rows = adjacent(df.select(F.col(key).alias("k")).distinct(), [F.col("k")], "k")
+    return rows.select("k", F.col("prev").alias("prev_k"), F.col("next").alias("next_k"))

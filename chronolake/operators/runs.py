@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import LEVEL_BYTES, LEVEL_GROWTH
+from .reads import ordered
 
 
 def file_stats(log: DataFrame, file: Column) -> DataFrame:
@@ -23,13 +24,14 @@ def entry_bytes() -> Column:
     return (F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 8).cast("long")
 
 
-def running(log: DataFrame, order: list[Column], buckets: int = 64) -> DataFrame:
-    """sofar: running bytes in a total order, own entry included; summed within ranges and offset, so no task holds the log."""
-    spread = log.withColumn("bytes", entry_bytes()).repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    sums = spread.groupBy("_p").agg(F.sum("bytes").alias("_b"))
-    before = sums.select("_p", (F.sum("_b").over(Window.orderBy("_p")) - F.col("_b")).alias("_before"))  # a row a partition
-    own = F.sum("bytes").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return spread.join(F.broadcast(before), "_p").withColumn("sofar", own + F.col("_before")).drop("_p", "_before")
+def running(log: DataFrame, order: list[Column]) -> DataFrame:
+    """bytes of each entry, and sofar: running bytes in a total order, own entry included; summed within ranges and offset by the sums of
+    the ranges before, so no task holds the log."""
+    rows = ordered(log.withColumn("bytes", entry_bytes()), order)
+    sums = rows.groupBy("_p").agg(F.sum("bytes").alias("_b"))
+    before = sums.select("_p", (F.sum("_b").over(Window.orderBy("_p")) - F.col("_b")).alias("_before"))  # a row a range
+    own = F.sum("bytes").over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("sofar", own).join(F.broadcast(before), "_p").withColumn("sofar", F.col("sofar") + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def cut(log: DataFrame, order: list[Column], size: int) -> DataFrame:

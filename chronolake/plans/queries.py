@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec as C
 from ..operators import compaction, oplog, reads, runs
+from ..schema import RESTART
+from ..shared import written
 
 AT, OPS, BATCH, LAST = 5000, 1000, 100, 6
 
@@ -53,11 +52,8 @@ def deeper(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT '100' AS smallest, '119' AS largest")
 
 
-def _sorted_run(spark: SparkSession, df: DataFrame) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
-    df.repartitionByRange("user_key", F.desc("seq")).sortWithinPartitions("user_key", F.desc("seq")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _sorted_run(df: DataFrame) -> DataFrame:
+    return written(df.repartitionByRange("user_key", F.desc("seq")).sortWithinPartitions("user_key", F.desc("seq")))
 
 
 def write_batch(s, d):
@@ -100,30 +96,23 @@ def seek_ge(s, d):
 
 
 def prefix_shared(s, d):
-    p = reads.positions(names(s, d).select(F.col("c_name").alias("k")).distinct(), [F.col("k")])
-    prev = p.select((F.col("pos") + 1).alias("pos"), F.col("k").alias("prev"))
-    p = p.join(prev, "pos", "left")
-    shared = F.when((F.col("pos") - 1) % 16 == 0, 0).otherwise(C.common_prefix(F.col("k"), F.col("prev"))).cast("long")
+    p = reads.adjacent(names(s, d).select(F.col("c_name").alias("k")).distinct(), [F.col("k")], "k")
+    shared = F.when((F.col("pos") - 1) % RESTART == 0, 0).otherwise(C.common_prefix(F.col("k"), F.col("prev"))).cast("long")
     return p.select("k", shared.alias("shared"), (F.length("k") - shared).cast("long").alias("non_shared"))
 
 
 def restart_points(s, d):
     p = reads.positions(names(s, d).select(F.col("c_name").alias("k")).distinct(), [F.col("k")])
-    return p.select("k", ((F.col("pos") - 1) % 16 == 0).alias("is_restart"))
+    return p.select("k", ((F.col("pos") - 1) % RESTART == 0).alias("is_restart"))
 
 
 def rle_runs(s, d):
-    """Runs by position: a run starts where the symbol before differs; its start is carried on within ranges of ids, and runs that
-    go on across ranges are joined by their neighbours' last symbols."""
+    """A run starts where the symbol before differs, and ends where the next one starts."""
     e = table(s, d, "events").select("event_id", "event_type")
-    p = reads.positions(e, [F.col("event_id")])
-    prev = p.select((F.col("pos") + 1).alias("pos"), F.col("event_type").alias("before"))
-    starts = p.join(prev, "pos", "left").where(F.col("before").isNull() | (F.col("before") != F.col("event_type"))).select("pos", "event_id", "event_type")
-    ordered = reads.positions(starts.withColumnRenamed("pos", "at"), [F.col("at")])
-    nxt = ordered.select((F.col("pos") - 1).alias("pos"), F.col("at").alias("next_at"))
-    total = e.agg((F.count("*") + 1).alias("end"))
-    out = ordered.join(nxt, "pos", "left").crossJoin(F.broadcast(total))
-    return out.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("run_start"), (F.coalesce("next_at", "end") - F.col("at")).cast("long").alias("run_len"))
+    p = reads.adjacent(e, [F.col("event_id")], "event_type")
+    starts = p.where((F.col("pos") == 1) | ~F.col("prev").eqNullSafe(F.col("event_type"))).select(F.col("pos").alias("at"), "event_id", "event_type")
+    ended = reads.adjacent(starts, [F.col("at")], "at").crossJoin(F.broadcast(e.agg((F.count("*") + 1).alias("end"))))  # one row
+    return ended.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("run_start"), (F.coalesce("next", "end") - F.col("at")).cast("long").alias("run_len"))
 
 
 def checksum_verify(s, d):
@@ -184,7 +173,7 @@ def flush_by_bytes(s, d):
 
 
 def run_write_stats(s, d):
-    r = _sorted_run(s, log(s, d))
+    r = _sorted_run(log(s, d))
     return r.agg(F.count("*").alias("num_entries"), F.sum(F.octet_length("user_key").cast("long")).alias("key_bytes"), F.sum(F.coalesce(F.octet_length("value"), F.lit(0)).cast("long")).alias("value_bytes"))
 
 
@@ -216,7 +205,7 @@ QUERIES = {
     "flush_by_bytes": flush_by_bytes,
     "block_partition": block_partition,
     "run_write_stats": run_write_stats,
-    "run_scan": lambda s, d: _sorted_run(s, log(s, d)),
+    "run_scan": lambda s, d: _sorted_run(log(s, d)),
     "file_prune": lambda s, d: runs.prune(log(s, d).select("user_key").distinct(), files(s, d)),
     "l0_overlap": lambda s, d: runs.overlaps(files(s, d)),
     "manifest_replay": lambda s, d: runs.replay_edits(edits(s, d)),

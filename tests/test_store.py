@@ -93,8 +93,8 @@ def test_reads_agree_with_a_model(spark):
 
 def test_positions_and_seek_with_ties_and_empties(spark):
     df = spark.createDataFrame([(x,) for x in ["b", "a", "d", "b"]], "k string")
-    assert [(r["pos"], r["k"]) for r in reads.positions(df.distinct(), [F.col("k")], 3).orderBy("pos").collect()] == [(1, "a"), (2, "b"), (3, "d")]
-    got = reads.seek(df, spark.createDataFrame([("",), ("c",), ("d",), ("e",)], "t string"), "k", "t", 3)
+    assert [(r["pos"], r["k"]) for r in reads.positions(df.distinct(), [F.col("k")]).orderBy("pos").collect()] == [(1, "a"), (2, "b"), (3, "d")]
+    got = reads.seek(df, spark.createDataFrame([("",), ("c",), ("d",), ("e",)], "t string"), "k", "t")
     assert {r["target"]: r["found"] for r in got.collect()} == {"": "a", "c": "d", "d": "d", "e": None}
     assert reads.positions(df.where("false"), [F.col("k")]).count() == 0
 
