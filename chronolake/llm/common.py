@@ -1,70 +1,22 @@
-"""Shared pieces: shared-folder tables, stable hashes of ids, word splitting and components of a link graph."""
+"""Shared pieces: columns added by Python, stable hashes of ids, word splitting and components of a link graph."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..shared import kept_only, written
 
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    """Only where the session names no shared folder, as in tests on one machine."""
-    path = tempfile.mkdtemp(prefix="chronolake-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see: spark.checkpoint.dir, or a temporary one of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
-
-
-#: Paths written inside each kept_only() that is under way, the innermost last.
-_scopes: list[list[str]] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage is cut, and it survives the loss of any executor.
-
-    The table stays until the folder is cleaned by whoever owns it, as a plan read later may still need it; but see kept_only.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/chronolake-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def kept_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """written(make()), after which the tables that make() wrote on its way are deleted."""
-    before = len(_scopes)
-    _scopes.append([])
-    try:
-        df = make()
-        _scopes.append([])
-        out = written(df)
-        gone, made = _scopes[before:]
-    finally:
-        del _scopes[before:]
-    if _scopes:
-        _scopes[-1].extend(made)
-    for path in gone:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return out
+__all__ = ["added", "bounded_sample", "components", "group_edges", "held_out", "kept_only", "ordered_groups", "releasing", "remainder", "stratified_sample", "words", "written"]
 
 
 def remainder(key: str | Column, divisor: int) -> Column:
@@ -102,10 +54,10 @@ def ordered_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[p
         yield pd.concat(held)
 
 
-def releasing(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, after which its worker gives what it freed back to the system: workers are reused, and the allocator would keep the most they ever held."""
     @functools.wraps(run)
-    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
@@ -116,6 +68,29 @@ def releasing(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -
     return wrapped
 
 
+def added(docs: DataFrame, text: str, fields: list[T.StructField], scorer: Callable[[], Callable[[list[str | None]], list[list]]], drop_text: bool = False) -> DataFrame:
+    """docs with fields computed from one text column, in one pass without a shuffle; scorer() makes, in each task, what gives a list for
+    each field from a list of texts.
+
+    All other columns pass as the Arrow arrays they are, so a key of 64 bits beside a null keeps all of them (pandas would make the
+    column one of floats). Columns that have a field's name are replaced.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    docs = docs.drop(*[f.name for f in fields if f.name in docs.columns])
+    kept = [c for c in docs.columns if not (drop_text and c == text)]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            at = {c: i for i, c in enumerate(batch.schema.names)}
+            new = score(batch.column(at[text]).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(at[c]) for c in kept], *[pa.array(x, k) for x, k in zip(new, kinds, strict=True)]], [*kept, *[f.name for f in fields]])
+
+    return docs.mapInArrow(releasing(run), T.StructType([*[docs.schema[c] for c in kept], *fields]))
+
+
 def group_edges(frame: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
     """(start, end) of the groups in a frame of ordered_groups."""
     new = (frame[by].to_numpy()[1:] != frame[by].to_numpy()[:-1]).any(axis=1)
@@ -135,6 +110,24 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(2**30)) < share)
 
 
+def stratified_sample(df: DataFrame, key: str, by: str, bound: int, seed: str) -> tuple[DataFrame, dict]:
+    """About `bound` rows at most, chosen by a hash of the key, and the rows of each class `by` in df. Classes share the bound evenly; what
+    small ones leave goes to the others, so no class is lost among larger ones. One count for each class reaches the driver."""
+    sizes = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    left, share = bound, {}
+    for i, (c, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], str(x[0])))):
+        quota = left / (len(sizes) - i)
+        share[c] = min(1.0, quota / n)
+        left -= min(n, quota)
+    if all(x == 1.0 for x in share.values()):
+        return df, sizes
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(2**30))
+    least = F.lit(0)
+    for c, x in share.items():
+        least = F.when(F.col(by).eqNullSafe(F.lit(c)), int(x * 2**30)).otherwise(least)
+    return df.where(draw < least), sizes
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node that links reach.
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,18 +164,19 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, rule: Rul
 
 def _sets(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     """(id, n, h, g, prefix): size and 128-bit digest of each document's set, and its prefix in hash order."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(rule.width)
         for batch in batches:
             rows = []
-            for t in batch["t"].tolist():
+            for t in batch.column(1).to_pylist():
                 s = shingle(t)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 rows.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), s[: int(rule.prefix(len(s)))] if len(s) else s))
             n, h, g, p = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pd.DataFrame({"id": batch["id"], "n": np.array(n, np.int64), "h": np.array(h, np.int64), "g": np.array(g, np.int64), "prefix": pd.Series(p, dtype=object)})
+            prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]), pa.int32()), pa.array(np.concatenate(p) if p else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), prefix], ["id", "n", "h", "g", "prefix"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(releasing(run), "id long, n long, h long, g long, prefix array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(releasing(run), "id long, n long, h long, g long, prefix array<long>")
 
 
 def _spare(n: Column, rule: Rule) -> Column:

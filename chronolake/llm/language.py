@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out, releasing
+from .common import added, held_out, stratified_sample
 
 BUCKETS, WIDTH = 2**15, 16
 #: Labelled documents that a model is fitted on, at most (about); a documented bound, as fitting takes a fixed time.
@@ -158,36 +157,39 @@ def fit(texts: list[str], langs: list[str], seed: int = 0, epochs: int = 6, rate
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """A model from text and non-null lang of rows that are not held out; about `sample` of them, chosen by a hash of the key."""
+    """A model from text and non-null lang of rows that are not held out; about `sample` of them, chosen by a hash of the key, languages
+    alike. Rows without a letter teach nothing; an empty table gives a model without languages, which rejects everything."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(~held_out("k", folds) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    rows = sorted(((r["k"] is None, r["k"] or 0, r["t"], r["l"]) for r in bounded_sample(rows, "k", sample, "language").toLocalIterator()), key=lambda r: (r[0], str(r[1]), r[2]))
+    some, _ = stratified_sample(rows, "k", "l", sample, "language")
+    rows = sorted(((r["k"] is None, str(r["k"]), r["t"], r["l"]) for r in some.toLocalIterator()))
     return fit([r[2] for r in rows], [r[3] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:
     """All columns of docs with lang_pred, score and rejected added (columns of these names are replaced).
 
     Whole texts are judged, each word once per distinct word. Null texts and texts without a letter get `und`, 0 and are rejected; others
-    are rejected if their calibrated score is below the model's threshold. One pass without a shuffle; repeated rows get equal answers.
+    are rejected if their calibrated score is below the model's threshold. One pass without a shuffle; repeated rows get equal answers;
+    keys and other columns pass unchanged, null or not. drop_text: without the text.
     """
-    new = ["lang_pred", "score", "rejected"]
-    docs = docs.drop(*[c for c in docs.columns if c in new])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: BUCKETS x languages floats
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = sent.value.scorer()
-        for batch in batches:
-            got = [scorer.text(t) for t in batch[text].tolist()]
-            yield batch.assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got], rejected=[g[0] == NONE or g[1] < sent.value.threshold for g in got])
+    def scorer() -> Callable[[list[str | None]], list[list]]:
+        one = sent.value.scorer()
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.mapInPandas(releasing(run), schema)
+        def texts(some: list[str | None]) -> list[list]:
+            got = [one.text(t) for t in some]
+            return [[g[0] for g in got], [g[1] for g in got], [g[0] == NONE or g[1] < sent.value.threshold for g in got]]
+
+        return texts
+
+    return added(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())], scorer, drop_text)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify(docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), F.col("text").alias("_text")), train(docs), "_text")
-    return found.drop("_text")
+    found = identify(docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), F.col("text").alias("_text")), train(docs), "_text", drop_text=True)
+    return found
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

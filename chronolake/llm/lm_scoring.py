@@ -15,6 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -525,7 +526,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     known = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((model, known))  # bounded by SENT_WORDS, SENT_PAIRS and the model's fixed sizes
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (keys, n) = sent.value
         scorer, encoder = Scorer(model), bpe.load(tokenizer)
         number: dict[bytes, int] = {}
@@ -551,8 +552,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             starts = np.flatnonzero(opens)
             hashes, at, many, flat = np.concatenate([hashes, h]), np.concatenate([at, starts + len(flat)]), np.concatenate([many, np.diff(np.append(starts, len(ids)))]), np.concatenate([flat, ids])
 
-        def given(rows: list) -> pd.DataFrame:
-            texts = [words(t) for _, t in rows]
+        def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts), kind))
+
+        def given(key: pa.Array, bodies: list[str | None]) -> pa.RecordBatch:
+            texts = [words(t) for t in bodies]
             learn(set().union(*texts))
             parts, out = [], []
             for found in texts:
@@ -564,15 +568,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
                 out.append((len(w), int((seen > 0).sum()), float(np.log10(seen + _SMOOTH).sum()), hashes[w[:-1][own < 0]]))
             n_tokens, n_known, sums, rare = zip(*out, strict=True)
             score, pairs, bases = scorer.looked_up(parts)
-            return pd.DataFrame({"k": [r[0] for r in rows], "n_tokens": n_tokens, "n_known": n_known, "sums": sums, "rare": pd.Series(rare, dtype=object), "score": score, "pairs": pd.Series(pairs, dtype=object), "bases": pd.Series(bases, dtype=object)})
+            columns = [key, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), lists(rare, pa.int64()), pa.array(score, pa.float64()), lists(pairs, pa.int64()), lists(bases, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, ["k", "n_tokens", "n_known", "sums", "rare", "score", "pairs", "bases"])
 
         for batch in batches:
-            rows = list(zip(batch["k"].astype(object).where(batch["k"].notna(), None).tolist(), batch["t"].tolist(), strict=True))
-            for lo in range(0, len(rows), 256):
-                yield given(rows[lo : lo + 256])
+            key, bodies = batch.column(0), batch.column(1).to_pylist()
+            for lo in range(0, len(bodies), 256):
+                yield given(key.slice(lo, 256), bodies[lo : lo + 256])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = texts.mapInPandas(run, f"k {kind}, n_tokens long, n_known long, sums double, rare array<long>, score double, pairs array<long>, bases array<double>")
+    scored = texts.mapInArrow(releasing(run), f"k {kind}, n_tokens long, n_known long, sums double, rare array<long>, score double, pairs array<long>, bases array<double>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
     ends = float(vocabulary.where(f"key = {_END_HASH}").agg(F.sum("n")).first()[0] or 0)
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))

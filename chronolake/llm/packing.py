@@ -6,9 +6,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bpe
 from .common import releasing, written
@@ -81,7 +82,7 @@ def best_fit(pieces: list[tuple], first: int, capacity: int = CAPACITY) -> list[
     """The last leftovers, longest first, each into the fullest bin that has room; rooms are kept by size, so this is near-linear."""
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     out, used = [], []
-    for p in sorted(pieces, key=lambda p: (-p[2], p[0], p[1])):
+    for p in sorted(pieces, key=lambda p: (-p[2], p[0] is None, str(p[0]), p[1])):
         room = next((r for r in range(p[2], capacity + 1) if rooms[r]), 0)
         if room:
             b = rooms[room].pop()
@@ -100,8 +101,9 @@ def _number(step: int) -> int:
     return (step << (_WORKER_BITS + _NUMBER_BITS)) + (TaskContext.get().partitionId() << _NUMBER_BITS)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PIECES.split(", ")])
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 1) -> DataFrame:
@@ -113,47 +115,47 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     the whole corpus are padded. Repeated rows are packed as rows; null keys stay; other columns are dropped.
     sequence_id is unique, not gapless; offsets within a sequence are gapless from 0.
     """
+    names = [key, *[c.split(" ")[0] for c in PIECES.split(", ")[1:]]]
     schema = PIECES.replace("_row long", f"`{key}` {docs.schema[key].dataType.simpleString()}")
+    kinds = [to_arrow_type(docs.schema[key].dataType), *[pa.int64()] * (len(names) - 1)]
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, worker = bpe.load(tokenizer).encode, Worker(_number(0), capacity)
         for batch in batches:
             out = []
-            for row, body in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist(), strict=True):
+            for row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(body) if body else []
                 ids.append(end)
                 raw, n, at = np.asarray(ids, "<u4"), len(ids), 0
                 for length in cuts(n, capacity):
                     out += worker.add((row, at, length, zlib.crc32(raw[at : at + length]), n))
                     at += length
-            yield _frame(out).set_axis(names, axis=1)
-        yield _frame([(*p, -1, -1) for p in worker.leftovers()]).set_axis(names, axis=1)
+            yield _batch(out, names, kinds)
+        yield _batch([(*p, -1, -1) for p in worker.leftovers()], names, kinds)
 
-    names = [key, *[c.split(" ")[0] for c in PIECES.split(", ")[1:]]]
-    source = docs.select(F.col(key), F.col(text)).withColumn("_worker", F.spark_partition_id())
+    source = docs.select(F.col(key), F.col(text))
     workers = max(1, docs.rdd.getNumPartitions())
     if workers >= 2**_WORKER_BITS:
         raise ValueError(f"{workers} input partitions; sequence ids have room for {2**_WORKER_BITS}")
     done = []
-    step = written(source.select(key, text).mapInPandas(releasing(first), schema))
+    step = written(source.mapInArrow(releasing(first), schema))
     while True:
         done.append(step.where("sequence_id >= 0"))
         left = step.where("sequence_id < 0")
         workers = -(-workers // FAN_IN)
         number, last = len(done), workers == 1
 
-        def again(batches: Iterator[pd.DataFrame], number: int = number, last: bool = last) -> Iterator[pd.DataFrame]:
+        def again(batches: Iterator[pa.RecordBatch], number: int = number, last: bool = last) -> Iterator[pa.RecordBatch]:
             worker = Worker(_number(number), capacity)
             for batch in batches:
                 out = []
-                for p in batch.itertuples(index=False, name=None):
-                    out += worker.add(p[:5])
-                yield _frame(out).set_axis(names, axis=1)
+                for p in zip(*[c.to_pylist() for c in batch.columns[:5]], strict=True):
+                    out += worker.add(p)
+                yield _batch(out, names, kinds)
             rest = worker.leftovers()
-            rest = best_fit(rest, worker.next, capacity) if last else [(*p, -1, -1) for p in rest]
-            yield _frame(rest).set_axis(names, axis=1)
+            yield _batch(best_fit(rest, worker.next, capacity) if last else [(*p, -1, -1) for p in rest], names, kinds)
 
-        step = written(left.coalesce(workers).mapInPandas(again, schema) if workers > 1 else left.repartition(1).mapInPandas(again, schema))
+        step = written(left.coalesce(workers).mapInArrow(again, schema) if workers > 1 else left.repartition(1).mapInArrow(again, schema))
         if last:
             done.append(step)
             break

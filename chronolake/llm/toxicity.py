@@ -5,16 +5,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out, releasing
+from .common import added, held_out, stratified_sample
 
 BUCKETS = 2**17
 #: Labelled documents that the field is fitted on, at most (about).
@@ -274,33 +273,39 @@ def _blend(model: Model, texts: list[str], toxic: list[int]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, sample: int = SAMPLE) -> Model:
-    """A model from documents with a 0/1 label whose key is not held out; about `sample` of them, chosen by a hash of the key."""
-    few = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(~held_out("k", folds) & F.col("y").isin(0, 1)).groupBy("k").agg(F.max("y").alias("y"))
-    few = bounded_sample(few, "k", sample, "toxicity")
+    """A model from documents with a 0/1 label whose key is not held out; about `sample` of them, chosen by a hash of the key, toxic ones
+    up to half; scores are set back to the share of toxic ones among all labelled. Labels that disagree: toxic. No labels: a model that finds nothing."""
+    few = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(~held_out("k", folds) & F.col("y").isin(0, 1) & F.col("k").isNotNull()).groupBy("k").agg(F.max("y").alias("y"))
+    few, sizes = stratified_sample(few, "k", "y", sample, "toxicity")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").join(few, "k")
     rows = sorted((str(r["k"]), r["t"], r["y"]) for r in rows.toLocalIterator())
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    model = fit([r[1] for r in rows], [r[2] for r in rows])
+    bad = sum(r[2] for r in rows)
+    if 0 < bad < len(rows) and sizes.get(0) and sizes.get(1):
+        model.blend[0] += np.log(sizes[1] / sizes[0]) - np.log(bad / (len(rows) - bad))
+    return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:
     """All columns of docs with score (0 to 1), predicted and spans added (columns of these names are replaced).
 
     Whole texts are tagged by exact forward-backward, of any length. Null and empty texts hold no evidence and get the score that this
-    has; equal texts get equal scores. One pass without a shuffle.
+    has; equal texts get equal scores. One pass without a shuffle; keys and other columns pass unchanged, null or not. drop_text: without
+    the text.
     """
-    new = ["score", "predicted", "spans"]
-    docs = docs.drop(*[c for c in docs.columns if c in new])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: BUCKETS floats
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value)
-        for batch in batches:
-            scores, spans = scorer.texts(batch[text].tolist())
-            yield batch.assign(score=scores, predicted=(scores >= 0.5).astype("int32"), spans=[[{"start": a, "end": b, "marginal": p} for a, b, p in s] for s in spans])
+    def scorer() -> Callable[[list[str | None]], list[list]]:
+        one = Scorer(sent.value)
+
+        def texts(some: list[str | None]) -> list[list]:
+            scores, spans = one.texts(some)
+            return [scores.tolist(), (scores >= 0.5).astype("int32").tolist(), [[{"start": a, "end": b, "marginal": p} for a, b, p in s] for s in spans]]
+
+        return texts
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", span)])
-    return docs.mapInPandas(releasing(run), schema)
+    return added(docs, text, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", span)], scorer, drop_text)
 
 
 def _trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
@@ -309,7 +314,7 @@ def _trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = score(docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), F.col("text").alias("_text")), _trained(spark, docs, sf_dir), "_text")
+    found = score(docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), F.col("text").alias("_text")), _trained(spark, docs, sf_dir), "_text", drop_text=True)
     return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 

@@ -36,6 +36,33 @@ def held(key, n):
     return key is not None and zlib.crc32(str(key).encode()) % n == 0
 
 
+def test_keys_beside_a_null_stay_exact(spark):
+    """64-bit keys that a float cannot hold, and one that differs from its neighbour by 2 only, beside a null key and a null count."""
+    big = [2**60 + 1, 2**60 + 3, -(2**63), 2**63 - 1, None, 7]
+    rows = [(k, f"a text of some words for number {i} here and there", "en", "a", None if i == 0 else 2**60 + i) for i, k in enumerate(big)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    model = language.train(df)
+    found = language.identify(df, model).collect()
+    assert {(r["doc_id"], r["n_chars"]) for r in found} == {(r[0], r[4]) for r in rows}
+    field = toxicity.train(df, spark.createDataFrame([(2**60 + 1, 1), (2**60 + 3, 0)], "doc_id long, toxic int"))
+    assert {(r["doc_id"], r["n_chars"]) for r in toxicity.score(df, field).collect()} == {(r[0], r[4]) for r in rows}
+    assert Counter(r["doc_id"] for r in lm_scoring.score(df).collect()) == Counter(big)
+    assert {r["doc_id"] for r in packing.pack(df, packing.tokenizer_path()).collect()} == set(big)
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.join(df).collect()} == {(k, k) for k in big}
+    for stage in (jaccard.stage, mixing.stage):
+        assert {r["doc_id"] for r in stage(spark, df, DIR).collect()} == set(big)
+    shards = {r["doc_id"] for r in sharding.shard(df, 8).collect()}
+    assert shards == set(big)
+
+
+def test_samples_keep_small_classes(spark):
+    df = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") < 30, "rare").when(F.col("id") < 40, None).otherwise("much").alias("c"))
+    some, sizes = common.stratified_sample(df, "k", "c", 1000, "x")
+    got = Counter(r["c"] for r in some.collect())
+    assert sizes == {"rare": 30, None: 10, "much": 19_960} and got["rare"] == 30 and got[None] == 10 and 800 < got["much"] < 1100
+    assert common.stratified_sample(df, "k", "c", 50_000, "x")[0].count() == 20_000 and common.stratified_sample(df.limit(0), "k", "c", 5, "x")[0].count() == 0
+
+
 def test_scoring(spark, docs, odd, empty):
     both = docs.unionByName(odd)
     got = lm_scoring.score(both).collect()
