@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, components, group_edges, kept_only, ordered_groups, releasing, words, written
 
 REMEMBERED = 300_000
-#: Shingles of an index that one task builds (two such chunks meet in a task).
-CHUNK = 1_000_000
+#: Shingles of an index that one task builds (two such chunks meet in a task). Components of more documents than PART are dealt finer, to
+#: up to PARTS chunks, so that no task has most of the work.
+CHUNK, PART, PARTS = 1_000_000, 1000, 16
 #: Documents up to which the list of those to look at closely is broadcast (8 bytes each); beyond it, Spark joins by shuffle or as it sees fit.
 SENT = 400_000
 #: The same for bare keys of documents that go.
@@ -90,12 +93,12 @@ class Index:
         new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
         self.tokens, self.starts = flat[new], np.append(new, len(flat))
 
-    def search(self, query: np.ndarray, least: int, passes) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, overlaps) that share at least `least` shingles with the query and that passes(documents) lets through.
+    def search(self, query: np.ndarray, least: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, overlaps) of the wanted documents (a mask) that share at least `least` shingles with the query.
 
-        DivideSkip: of the query's lists, the longest are put aside, fewer than `least` of them; the short ones are merged and only
-        documents met often enough there are looked up in the long lists, by binary search, dropping out as soon as they cannot reach
-        `least`. Every list is used, so overlaps are exact.
+        DivideSkip: of the query's lists, the longest are put aside, fewer than `least` of them; the short ones are merged by a heap, and
+        only documents met often enough there are looked up in the long lists, by binary search, dropping out as soon as they cannot
+        reach `least`. Every list is used, so overlaps are exact.
         """
         at = np.searchsorted(self.tokens, query)
         at = at[(at < len(self.tokens))]
@@ -108,13 +111,8 @@ class Index:
         # how many long lists pay: more if they are long, as each costs a binary search for every survivor
         aside = min(least - 1, int(least / (0.05 * np.log2(max(2, lengths.max())) + 1)))
         short, long = at[order[: len(at) - aside]], at[order[len(at) - aside :]]
-        n = (self.starts[short + 1] - self.starts[short]).astype(np.int64)
-        runs = np.repeat(self.starts[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        found, count = np.unique(self.docs[runs], return_counts=True)  # a merge of sorted runs
-        keep = count + aside >= least
-        found, count = found[keep], count[keep]
-        keep = passes(found)
-        found, count = found[keep], count[keep]
+        lists = [self.docs[self.starts[t] : self.starts[t + 1]] for t in short]
+        found, count = merged([x[wanted[x]].tolist() for x in lists], least - aside)
         for i, t in enumerate(long):
             if not len(found):
                 return none, none
@@ -127,56 +125,81 @@ class Index:
         return found, count
 
 
+def merged(lists: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that stand in at least `least` of some ascending lists, and in how many: a heap holds the lists' heads. Where too few heads
+    agree, as many lists as cannot decide are taken from the heap together and leap to the next head."""
+    heads = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heads)
+    at, found, count = [0] * len(lists), [], []
+    while len(heads) >= least:
+        top, out = heads[0][0], []
+        while heads and heads[0][0] == top:
+            out.append(heapq.heappop(heads)[1])
+        if len(out) >= least:
+            found.append(top)
+            count.append(len(out))
+            goal = top + 1
+        else:
+            while len(out) < least - 1:
+                out.append(heapq.heappop(heads)[1])
+            goal = heads[0][0]
+        for i in out:
+            x = lists[i]
+            n = at[i] + 1 if goal == top + 1 else bisect_left(x, goal, at[i])
+            at[i] = n
+            if n < len(x):
+                heapq.heappush(heads, (x[n], i))
+    return np.array(found, np.int64), np.array(count, np.int64)
+
+
 def forest(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, rule: Rule, across: bool) -> list[tuple[int, int]]:
     """Links that join all of a group's documents that links join: a document already joined to the query is not looked up again.
 
     across: only links between the two sides are sought (either side's own links are another group's work).
     """
-    up = np.arange(len(ids))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return int(i)
-
-    index, out = Index(sets), []
-    for q in np.argsort(index.sizes, kind="stable").tolist():
+    by_size = np.argsort([len(s) for s in sets], kind="stable")
+    ids, sides, index = ids[by_size], sides[by_size], Index([sets[i] for i in by_size])
+    tree, out = np.arange(len(ids)), []
+    for q in range(len(ids)):
         n = int(index.sizes[q])
-
-        def passes(found: np.ndarray, q: int = q, n: int = n) -> np.ndarray:
-            m = index.sizes[found]
-            ok = (m > n) | ((m == n) & (found > q))  # each pair from its smaller set
-            if across:
-                ok &= sides[found] != sides[q]
-            ok &= 100 * n >= rule.percent * m
-            mine = root(q)
-            ok[ok] = [root(int(f)) != mine for f in found[ok]]
-            return ok
-
-        found, both = index.search(sets[q], rule.overlap(n), passes)
+        # each pair from its smaller set, so from the set that stands first
+        wanted = tree != tree[q]
+        wanted[: q + 1] = False
+        wanted[np.searchsorted(index.sizes, 100 * n // rule.percent, "right") :] = False
+        if across:
+            wanted &= sides != sides[q]
+        if not wanted.any():
+            continue
+        found, both = index.search(sets[by_size[q]], rule.overlap(n), wanted)
         for f in found[100 * both >= rule.percent * (n + index.sizes[found] - both)].tolist():
-            a, b = root(q), root(f)
-            if a != b:
-                up[max(a, b)] = min(a, b)
+            if tree[f] != tree[q]:
+                tree[tree == tree[f]] = tree[q]
                 out.append((int(ids[q]), int(ids[f])))
     return out
 
 
+def text_hash(text: str | Column) -> Column:
+    """Tells apart the texts of rows that share a key; null as empty."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
 def _sets(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
-    """(id, n, h, g, prefix): size and 128-bit digest of each document's set, and its prefix in hash order."""
+    """(id, x, n, h, g, prefix): the text's hash, size and 128-bit digest of each document's set, and its prefix in hash order."""
+    names = ["id", "x", "n", "h", "g", "prefix"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(rule.width)
         for batch in batches:
             rows = []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 s = shingle(t)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 rows.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), s[: int(rule.prefix(len(s)))] if len(s) else s))
             n, h, g, p = zip(*rows, strict=True) if rows else ((), (), (), ())
             prefix = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]), pa.int32()), pa.array(np.concatenate(p) if p else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), prefix], ["id", "n", "h", "g", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), prefix], names)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(releasing(run), "id long, n long, h long, g long, prefix array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), text_hash(text).alias("x"), F.col(text).alias("t")).mapInArrow(releasing(run), "id long, x long, n long, h long, g long, prefix array<long>")
 
 
 def _spare(n: Column, rule: Rule) -> Column:
@@ -194,8 +217,10 @@ def candidates(classes: DataFrame, rule: Rule) -> DataFrame:
     frequent = _frequent(classes)
     few = F.broadcast(frequent)
     lists = classes.select("rep", "n", F.explode("prefix").alias("token"))
-    rare = lists.join(few.select("token"), "token", "left_anti").withColumn("df", F.expr("count(*) OVER (PARTITION BY token)"))
-    lists = lists.join(few, "token").unionByName(rare).where("df > 1")
+    rare = lists.join(few.select("token"), "token", "left_anti")
+    # counted in part before the shuffle; the many shingles of one document only end here
+    counts = rare.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    lists = lists.join(few, "token").where("df > 1").unionByName(rare.join(counts, "token"))
     lists = lists.withColumn("m", F.expr("count(*) OVER (PARTITION BY rep)")).withColumn("least", _spare(F.ceil(F.lit(rule.percent) * F.col("n") / 100).cast("long"), rule))
     lists = lists.where("m >= least").withColumn("r", F.expr("row_number() OVER (PARTITION BY rep ORDER BY df, token)")).where("r <= m - least + 1")
     stars = written(lists.select("rep", "token"))
@@ -229,18 +254,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
     already; nothing is capped or estimated, but that shingles are compared by 64-bit hashes.
 
     Texts without words (null, empty, blank) have n_shingles 0 and link with nothing; a null key links with nothing and its
-    component is null; rows that repeat a key are copies of one document if their texts agree. Other columns are dropped.
+    component is null; rows that repeat a key are each a document, with its own text. An empty table gives no rows. Other columns are
+    dropped.
     """
+    found = _joined(docs, key, text, rule, chunk)
+    return found.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.col("top")["id"].alias("component_id"))
+
+
+def _joined(docs: DataFrame, key: str, text: str, rule: Rule, chunk: int = CHUNK) -> DataFrame:
+    """(id, x, n, top) for every row of docs; top: smallest (id, x) that links reach, null for a null id."""
     sets = written(_sets(docs, key, text, rule))
     some = sets.where("n > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy("n", "h", "g").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")))
+    classes = written(some.groupBy("n", "h", "g").agg(F.min(F.struct("id", "x")).alias("first"), F.first("prefix").alias("prefix")).withColumn("rep", F.monotonically_increasing_id()))
     spark = docs.sparkSession
-    groups = kept_only(spark, lambda: components(candidates(classes, rule)).select(F.col("node").alias("rep"), F.col("component").alias("c")).join(classes.select("rep", "n"), "rep"))
+    groups = kept_only(spark, lambda: components(candidates(classes, rule)).select(F.col("node").alias("rep"), F.col("component").alias("c")).join(classes.select("rep", "n", "first"), "rep"))
     found = written(_links(docs, groups, key, text, rule, chunk))
-    tops = kept_only(spark, lambda: components(found))
-    classes = classes.select("n", "h", "g", "rep").join(tops.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h", "g", F.coalesce("component", "rep").alias("c"))
-    out = sets.select("id", "n", "h", "g").join(classes, ["n", "h", "g"], "left")
-    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
+    tops = kept_only(spark, lambda: components(found)).withColumnRenamed("node", "rep").join(classes.select("rep", "first"), "rep")
+    least = tops.groupBy("component").agg(F.min("first").alias("top"))
+    tops = tops.join(least, "component").select("rep", "top")
+    classes = classes.select("n", "h", "g", "rep", "first").join(tops, "rep", "left").select("n", "h", "g", F.coalesce("top", "first").alias("top"))
+    out = sets.select("id", "x", "n", "h", "g").join(classes, ["n", "h", "g"], "left")
+    return out.select("id", "x", "n", F.when(F.col("id").isNotNull(), F.coalesce("top", F.struct("id", "x"))).alias("top"))
 
 
 def _links(docs: DataFrame, groups: DataFrame, key: str, text: str, rule: Rule, chunk: int) -> DataFrame:
@@ -249,11 +283,13 @@ def _links(docs: DataFrame, groups: DataFrame, key: str, text: str, rule: Rule,
     # written, so that Spark knows how few they are and need not deal the rows of a large component to one task
     large = written(groups.groupBy("c").agg(F.sum("n").alias("all")).where(F.col("all") > chunk).select("c", F.lit(True).alias("large")))
     of = groups.join(large, "c", "left").withColumn("windows", F.when(F.col("large"), F.array(band - 1, band)).otherwise(F.array(F.lit(-2))))
-    of = of.withColumn("w", F.explode("windows")).select("rep", "n", "c", "w")
-    parts = written(of.groupBy("c", "w").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    of = written(of.join(parts, ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct("c", "w", "chunks")).alias("at")))  # two windows at most
+    of = of.withColumn("w", F.explode("windows")).select("rep", "n", "c", "w", "first")
+    dealt_to = F.greatest(F.ceil(F.sum("n") / chunk), F.least(F.ceil(F.count("*") / PART), F.lit(PARTS))).cast("int")
+    parts = written(of.groupBy("c", "w").agg(dealt_to.alias("chunks"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    of = of.join(parts, ["c", "w"]).groupBy("rep", "first").agg(F.collect_list(F.struct("c", "w", "chunks")).alias("at"))  # two windows at most
+    of = written(of.select("rep", F.col("first")["id"].alias("id"), F.col("first")["x"].alias("x"), "at"))
     near = F.broadcast(of) if of.count() <= SENT else of
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(near, "rep").dropDuplicates(["rep"])
+    texts = docs.select(F.col(key).cast("long").alias("id"), text_hash(text).alias("x"), F.col(text).alias("t")).join(near, ["id", "x"]).dropDuplicates(["rep"])
     own = F.pmod(F.xxhash64("rep"), F.col("p")["chunks"]).cast("int")
     dealt = texts.withColumn("p", F.explode("at")).withColumn("own", own)
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("p")["chunks"] - 1)))
@@ -281,14 +317,16 @@ PIPELINE = Rule(width=5, percent=80)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates, once; documents without doc_id link with nothing and stay."""
-    found = kept_only(spark, lambda: join(docs, rule=PIPELINE))
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct())
+    """The document of smallest doc_id of each group of near-duplicates, once. Rows without doc_id link with nothing and stay; rows that
+    share a doc_id but not the text are judged each by its text; an empty table stays empty."""
+    found = kept_only(spark, lambda: _joined(docs, "doc_id", "text", PIPELINE).where("id IS NOT NULL"))
+    gone = written(found.where((F.col("top")["id"] != F.col("id")) | (F.col("top")["x"] != F.col("x"))).select(F.col("id").alias("_id"), F.col("x").alias("_x")).distinct())
     gone = F.broadcast(gone) if gone.count() <= SENT_KEYS else gone  # else the texts must move
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti")
-    if again.limit(1).count():  # rows that repeat a key: only those are brought together
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    again = found.groupBy(F.col("id").alias("_id"), F.col("x").alias("_x")).count().where("count > 1").drop("count")
+    own = docs.select("*", F.col("doc_id").cast("long").alias("_id"), text_hash("text").alias("_x"))
+    out = own.join(gone, ["_id", "_x"], "left_anti")
+    if again.limit(1).count():  # rows that repeat a document: only those are brought together
+        out = out.join(again, ["_id", "_x"], "left_anti").unionByName(out.join(again, ["_id", "_x"], "left_semi").dropDuplicates(["_id", "_x"]))
     return out.select(*docs.columns)
 
 
