@@ -30,27 +30,45 @@ def host_rule(host: str, path: str, action: str) -> Rule:
     return Rule(host + path, rf"(?s)^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", action, tuple(tokens), len(host + path))
 
 
-def word_rule(word: str, action: str = "block") -> Rule:
-    """Fits a URL whose host or path holds the word as a whole token, in any case."""
-    return Rule(f"word:{word}", rf"(?i)(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", action, (word,), 0)
+def pattern_rule(pattern: str, action: str = "block") -> Rule:
+    """Fits a URL whose host + path, in any case of A-Z, holds the pattern: `*` stands for any run of characters, `^` for one character that
+    is no ASCII letter or digit, or for an end, `|` as the first or last character for an end, all else for itself.
+
+    A piece of letters and digits is a whole token of every match if on either side something other than `*` ends it; a pattern may have none.
+    """
+    first, last = pattern.startswith("|"), pattern.endswith("|") and len(pattern) > 1
+    body = pattern[first : len(pattern) - last].lower()
+    signs = {"*": ".*", "^": r"(?:[^a-z0-9]|\A|\z)"}
+    regex = r"\A" * first + "".join(signs.get(c) or re.escape(c) for c in body) + r"\z" * last
+    ended = lambda c, anchor: c not in ("", "*") or (c == "" and anchor)
+    tokens = [m.group() for m in _TOKEN.finditer(body) if ended(body[: m.start()][-1:], first) and ended(body[m.end() :][:1], last)]
+    return Rule(pattern, f"(?is){regex}", action, tuple(tokens), 0)
+
+
+#: What a crawl is better without, where no host rule fits: spam and adult words, downloads, pages of no content, traps for crawlers.
+PATTERNS = (
+    "^spam^", "^spam*farm^", "^pills^", "^cheap-*-pills^", "^viagra^", "^casino^", "^online-casino*^", "^poker^", "^betting^", "^porn^", "^xxx^", "^sex^", "^escort^", "^warez^", "^torrent^", "^malware^", "^phishing^",
+    "^cgi-bin^", "^wp-login.php|", "^wp-admin^", "^cart^checkout^", "^calendar^*^print|", "*.exe|", "*.zip|", "^tag^*^page^*^page^", "//", "|-",
+)
+PATTERN_RULES = tuple(pattern_rule(p) for p in PATTERNS)
 
 
-#: Words of URLs that a crawl is better without; used where no host rule fits.
-BLOCK_WORDS = ("spam", "pills", "viagra", "casino", "poker", "betting", "porn", "xxx", "sex", "escort", "warez", "torrent", "malware", "phishing")
-WORD_RULES = tuple(word_rule(w) for w in BLOCK_WORDS)
+def _lowered(x: Column) -> Column:
+    """A-Z only: other letters end a token whatever their case."""
+    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or where there is no `://`."""
     there = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
-    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = _lowered(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1))
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*(/[^?#]*)", 1)
     return F.when(there, host).otherwise(""), F.when(there, path).otherwise("")
 
 
 def tokens(whole: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(whole), "[^a-z0-9]+"))
+    return F.array_distinct(F.split(_lowered(whole), "[^a-z0-9]+"))
 
 
 def token_counts(urls: DataFrame, column: str, literals: list[str]) -> dict[str, int]:
@@ -115,21 +133,21 @@ HOST_RULES = (
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), HOST_RULES + WORD_RULES).drop("candidates")
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), HOST_RULES + PATTERN_RULES).drop("candidates")
 
 
 ORACLE = r"""
 WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-h AS (SELECT page_id, coalesce(lower(regexp_extract(rest, '^([^/?#]*)', 1)), '') AS host,
+h AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1), '') AS path FROM u),
 r(host_r, path_r, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
                                     ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-w(word) AS (VALUES %s),
+w(name, pattern) AS (VALUES %s),
 c AS (SELECT page_id, h.host, h.path,
         (SELECT max(struct_pack(n := length(host_r || path_r), name := host_r || path_r, action := action)) FROM r
           WHERE (h.host = host_r OR h.host LIKE '%%.' || host_r) AND starts_with(h.path, path_r)) AS best,
-        (SELECT min('word:' || word) FROM w WHERE regexp_matches(lower(h.host || h.path), '(^|[^a-z0-9])' || word || '([^a-z0-9]|$)')) AS pat
+        (SELECT min(name) FROM w WHERE regexp_matches(translate(h.host || h.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), w.pattern)) AS pat
       FROM h)
 SELECT page_id, host, path, best.name AS rule, CASE WHEN best IS NULL THEN pat END AS pattern,
        coalesce(best.action, CASE WHEN pat IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM c
-""" % ", ".join(f"('{w}')" for w in BLOCK_WORDS)
+""" % ", ".join(f"('{r.name}', '{r.pattern}')" for r in PATTERN_RULES)

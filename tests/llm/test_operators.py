@@ -1,6 +1,7 @@
 """Each operator against brute force, on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -160,9 +161,10 @@ def test_bpe_is_the_tokenizers_one(odd, docs):
 
 def test_urls(spark):
     urls = [None, "", "nothing", "http://ORG/x", "http://a.example.org/es/1?x", "http://example.org/en/12", "http://example.org/en/2", "https://xcom/fr/1", "http://m.com/fr/", "http://m.com/de", "http://m.net/de/#f",
-            "http://a/b/://c.org/x", "http://www.cheap-pills.net/", "http://a.net/Casino.html", "http://pillsx.net", "http://é.org/é\n/x", "http://x.org?y=/"]
+            "http://a/b/://c.org/x", "http://www.cheap-pills.net/", "http://a.net/Casino.html", "http://pillsx.net", "http://é.org/é\n/x", "http://x.org?y=/", "http://spam-x-farm.net/a", "http://spamxfarm.net/a", "http://a.net/b//c", "http://a.net/Setup.EXE", "http://a.net/exe", "http://a.net/x.exe/y", "http://a.net/tag/a/page/1/page/2",
+            "http://-a.net/", "http://a.net/KASINO/\u212aasino", "http://a.net/" + "x/" * 60_000 + "casino/" + "y" * 60_000, "http://a.net/wp-login.php", "http://a.net/cheap-blue-pills/", "http://a.net/cheap-bluepills/"]
     df = spark.createDataFrame([(i, u, "clash", 1) for i, u in enumerate(urls)] + [(3, "http://ORG/x", "clash", 1)], "page_id long, url string, verdict string, host int")
-    for r in url_filter.judge(df, url_filter.HOST_RULES + url_filter.WORD_RULES).collect():
+    for r in url_filter.judge(df, url_filter.HOST_RULES + url_filter.PATTERN_RULES).collect():
         u = urls[r["page_id"]] or ""
         host = path = ""
         if "://" in u:
@@ -175,7 +177,12 @@ def test_urls(spark):
         assert r["rule"] == (best and best[1])
         if best:
             assert r["verdict"] == best[2]
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, url_filter.HOST_RULES + url_filter.WORD_RULES).collect()}
+    # patterns by a plain scan of all of them, with another regular expression engine
+    for r in url_filter.judge(df, url_filter.PATTERN_RULES).collect():
+        u = urls[r["page_id"]] or ""
+        fits = [p.name for p in url_filter.PATTERN_RULES if re.search(p.pattern.replace("\\z", "\\Z"), r["host"] + r["path"], re.ASCII)]
+        assert r["pattern"] == min(fits, default=None) and r["verdict"] == ("block" if fits else "allow") and r["rule"] is None
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, url_filter.HOST_RULES + url_filter.PATTERN_RULES).collect()}
     assert (got[12], got[13], got[14]) == ("block", "block", "allow")
     assert url_filter.judge(df.limit(0), url_filter.HOST_RULES).count() == 0
     assert {r["verdict"] for r in url_filter.judge(df, []).collect()} == {"allow"}
