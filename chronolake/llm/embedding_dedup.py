@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, group_edges, ordered_groups, written
+from .common import components, group_edges, ordered_groups, releasing, written
 from .lattice import cells
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -24,7 +24,8 @@ class Tables:
 
     width is the lattice's scale. With two blocks at 1/4, two vectors of 64 dimensions at cosine 0.95 meet in a table of one home and two
     probes about half the time, so that eight tables miss about one pair in a hundred at that cosine and next to none above 0.97, while
-    one random pair in ten thousand meets. More blocks suit tables of over ten million distinct vectors.
+    one random pair in ten thousand meets. With three blocks a table finds fewer pairs and far fewer random ones meet, so there are more
+    tables: see suited.
     """
 
     tables: int = 8
@@ -32,6 +33,11 @@ class Tables:
     width: float = 0.25
     seed: int = 7
 
+    @classmethod
+    def suited(cls, rows: int) -> "Tables":
+        """Tables for so many distinct vectors: cells must grow with the rows, or comparisons would with their square."""
+        return cls() if rows <= 10_000_000 else cls(tables=16, blocks=3)
+
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Hashed cells (n, tables, 1 + blocks) of unit rows: the home cell, then for each block the cell with that block's next point."""
         n, d = x.shape
@@ -61,51 +67,79 @@ def usable(vector: str | Column) -> Column:
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), np.float64)
+    x = np.concatenate(vectors.to_numpy()).astype(np.float64).reshape(len(vectors), -1)
     x /= np.abs(x).max(1, keepdims=True)  # tiny and huge components square safely
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-class _Block:
-    """Links found among rows that share a cell: sums of partners' weights, and a forest of the links."""
+#: Groups up to so many rows are compared together, pair by pair; larger ones each by matrix products.
+_SMALL = 48
+
+
+class _Cells:
+    """Links found among rows (of one length of vectors) that share a cell: sums of partners' weights, and a forest of the links."""
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, base: np.ndarray, side: np.ndarray, x: np.ndarray, table: int, tables: Tables, cosine: float, split: bool):
-        self.ids, self.weight, self.base, self.side, self.x, self.table, self.tables, self.cosine, self.split = ids, weight, base, side, x, table, tables, cosine, split
-        self.links = np.zeros(len(ids), np.int64)
-        self.label = np.arange(len(ids))
-        self.keys: np.ndarray | None = None
+    def __init__(self, part: pd.DataFrame, edges: list[tuple[int, int]], tables: Tables, cosine: float):
+        self.ids, self.weight, self.base, self.side, self.table = (part[c].to_numpy() for c in ("rep", "n", "base", "side", "t"))
+        self.split = part["i"].to_numpy() != part["j"].to_numpy()
+        self.x, self.edges, self.tables, self.cosine = _unit(part["v"]), edges, tables, cosine
+        self.links, self.label = np.zeros(len(part), np.int64), np.arange(len(part))
+        self.keys, self.row = np.empty((0, tables.tables, 1 + tables.blocks), np.int64), np.full(len(part), -1)
+
+    def signatures(self, rows: np.ndarray) -> np.ndarray:
+        """The cells of rows, hashed once for rows that link with any."""
+        new = np.unique(rows[self.row[rows] < 0])
+        if len(new):
+            self.row[new] = len(self.keys) + np.arange(len(new))
+            self.keys = np.concatenate([self.keys, self.tables.keys(self.x[new])])
+        return self.keys[self.row[rows]]
 
     def first_meeting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs meet here first: by table, at home, by the smaller id's probe, by the larger's. Each link counts only there."""
-        if self.keys is None:
-            self.keys = self.tables.keys(self.x)
         swap = self.ids[a] > self.ids[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        ka, kb = self.keys[a], self.keys[b]
+        ka, kb = self.signatures(a), self.signatures(b)
         met = np.stack([ka[:, :, 0] == kb[:, :, 0], (ka[:, :, 1:] == kb[:, :, :1]).any(2), (kb[:, :, 1:] == ka[:, :, :1]).any(2)], axis=2)
         now = np.where(self.base[a] & self.base[b], 0, np.where(self.base[b], 1, 2))
-        return met.reshape(len(a), -1).argmax(1) == self.table * 3 + now
-
-    def run(self) -> None:
-        n = len(self.ids)
-        step = max(1, 2_000_000 // n)
-        for lo in range(0, n, step):
-            near = self.x[lo : lo + step] @ self.x.T >= self.cosine
-            near &= self.base[lo : lo + step, None] | self.base[None, :]
-            near &= self.ids[lo : lo + step, None] != self.ids[None, :]
-            if self.split:  # two chunks of a hot cell: pairs across
-                near &= (self.side[lo : lo + step, None] == 0) & (self.side[None, :] == 1)
-            a, b = np.nonzero(near)
-            a += lo
-            if not self.split:
-                a, b = a[a < b], b[a < b]
-            for at in range(0, len(a), _PAIRS):
-                pa, pb = a[at : at + _PAIRS], b[at : at + _PAIRS]
-                mine = self.first_meeting(pa, pb)
-                self.join(pa, pb)
-                pa, pb = pa[mine], pb[mine]
-                np.add.at(self.links, pa, self.weight[pb])
-                np.add.at(self.links, pb, self.weight[pa])
+        return met.reshape(len(a), -1).argmax(1) == self.table[a] * 3 + now
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of a group at the cosine, some at a time."""
+        start, end = (np.zeros(len(self.ids), np.int64) for _ in range(2))
+        for lo, hi in self.edges:
+            if hi - lo <= _SMALL:
+                start[lo:hi], end[lo:hi] = lo, hi
+        for away in range(1, min(_SMALL, int((end - start).max(initial=0)))):
+            a = np.flatnonzero(np.arange(len(end)) + away < end)
+            for lo in range(0, len(a), _PAIRS):
+                yield self.near(a[lo : lo + _PAIRS], a[lo : lo + _PAIRS] + away)
+        for lo, hi in self.edges:
+            if hi - lo > _SMALL:
+                step = max(1, 2_000_000 // (hi - lo))
+                for at in range(lo, hi, step):
+                    a, b = np.nonzero(self.x[at : min(at + step, hi)] @ self.x[lo:hi].T >= self.cosine - 1e-9)
+                    a, b = a + at, b + lo
+                    a, b = a[a < b], b[a < b]
+                    for k in range(0, len(a), _PAIRS):
+                        yield self.near(a[k : k + _PAIRS], b[k : k + _PAIRS])
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of two chunks of a hot cell, pairs across; one of a pair at home; at the cosine, by one formula whatever the group's size."""
+        fine = (self.base[a] | self.base[b]) & (self.ids[a] != self.ids[b]) & (~self.split[a] | (self.side[a] != self.side[b]))
+        a, b = a[fine], b[fine]
+        fine = np.einsum("ij,ij->i", self.x[a], self.x[b]) >= self.cosine
+        return a[fine], b[fine]
+
+    def run(self) -> pd.DataFrame:
+        for a, b in self.pairs():
+            if len(a):
+                mine = self.first_meeting(a, b)
+                self.join(a, b)
+                a, b = a[mine], b[mine]
+                np.add.at(self.links, a, self.weight[b])
+                np.add.at(self.links, b, self.weight[a])
+        touched = (self.links > 0) | (self.label != np.arange(len(self.ids)))
+        return pd.DataFrame({"id": self.ids[touched], "links": self.links[touched], "root": self.ids[self.label[touched]]})
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
@@ -117,17 +151,13 @@ class _Block:
             np.minimum.at(self.label, lb, low)
             self.label = self.label[self.label]
 
-    def frame(self) -> pd.DataFrame:
-        touched = (self.links > 0) | (self.label != np.arange(len(self.ids)))
-        return pd.DataFrame({"id": self.ids[touched], "links": self.links[touched], "root": self.ids[self.label[touched]]})
-
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, tables: Tables = Tables(), chunk: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, tables: Tables | None = None, chunk: int = 512) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of vectors; other columns are dropped.
 
-    Equal vectors are one class first, so copies cost nothing more than their count. Each class's vector goes to its home cell and to
-    probed neighbouring cells of each table; within a cell, home rows are compared with all rows in double precision by blocked matrix
-    products. A pair is counted where it meets first, so counts are exact for all pairs that meet. A cell of more than `chunk` rows is
+    Equal vectors are one class first, so copies cost nothing more than their count. Each class goes to its home cell and to probed
+    neighbouring cells of each table (Tables.suited to the number of classes, unless given), as a key alone; vectors are fetched by those
+    that share a cell, and home rows are compared with all rows of it in double precision. A pair is counted where it meets first, so counts are exact for all pairs that meet. A cell of more than `chunk` rows is
     dealt in chunks, and pairs of chunks meet in separate tasks: no group is held by one task, and no pair leaves its task, only counts
     and a spanning forest do. Recall is that of the tables (see Tables); a link is never below the cosine.
 
@@ -138,38 +168,30 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     good = rows.where("v IS NOT NULL")
     classes = written(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
 
+    tables = tables or Tables.suited(classes.count())
+
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for d, part in batch.groupby(batch["v"].map(len)):
                 k = tables.keys(_unit(part["v"])) + d
                 n, t, c = k.shape
-                at = np.repeat(np.arange(n), t * c)
-                yield pd.DataFrame({"cell": k.reshape(-1), "t": np.tile(np.repeat(np.arange(t, dtype=np.int16), c), n), "base": np.tile(np.arange(c) == 0, n * t), "rep": part["rep"].to_numpy()[at], "n": part["n"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
+                yield pd.DataFrame({"cell": k.reshape(-1), "t": np.tile(np.repeat(np.arange(t, dtype=np.int16), c), n), "base": np.tile(np.arange(c) == 0, n * t), "rep": np.repeat(part["rep"].to_numpy(), t * c)})
 
-    kind = classes.schema["v"].dataType.simpleString()
-    copies = classes.select("rep", "n", "v").mapInPandas(spread, f"cell long, t short, base boolean, rep long, n long, v {kind}")
+    copies = written(classes.select("rep", "v").mapInPandas(spread, "cell long, t short, base boolean, rep long"))
     sizes = written(copies.groupBy("cell").agg(F.count("*").alias("m"), F.max("base").alias("any")).where("m > 1 AND any").select("cell", F.ceil(F.col("m") / chunk).cast("int").alias("chunks")))
-    met = copies.join(sizes, "cell")
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = met.withColumn("ij", F.explode(others)).select("cell", "t", F.col("ij")["i"].alias("i"), F.col("ij")["j"].alias("j"), (own == F.col("ij")["j"]).cast("short").alias("side"), "base", "rep", "n", "v")
+    dealt = copies.join(sizes, "cell").withColumn("ij", F.explode(others)).select("cell", "t", F.col("ij")["i"].alias("i"), F.col("ij")["j"].alias("j"), (own == F.col("ij")["j"]).cast("short").alias("side"), "base", "rep")
+    dealt = dealt.join(classes.select("rep", "n", "v"), "rep")
     dealt = dealt.repartition(F.col("cell"), F.col("i"), F.col("j")).sortWithinPartitions("cell", "i", "j")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = ["cell", "i", "j"]
-        for part in ordered_groups(batches, by):
-            ids, n, base, side, t, i, j = (part[c].to_numpy() for c in ("rep", "n", "base", "side", "t", "i", "j"))
-            out = []
-            for lo, hi in group_edges(part, by):
-                if hi - lo > 1:
-                    b = _Block(ids[lo:hi], n[lo:hi], base[lo:hi], side[lo:hi], _unit(part["v"].iloc[lo:hi]), int(t[lo]), tables, cosine, i[lo] != j[lo])
-                    b.run()
-                    if b.links.any() or (b.label != np.arange(hi - lo)).any():
-                        out.append(b.frame())
-            if out:
-                yield pd.concat(out)
-
-    found = written(dealt.mapInPandas(compare, "id long, links long, root long"))
+        for frame in ordered_groups(batches, by):
+            for _, part in frame.groupby(frame["v"].map(len), sort=False):
+                yield _Cells(part, group_edges(part, by), tables, cosine).run()
+
+    found = written(dealt.mapInPandas(releasing(compare), "id long, links long, root long"))
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     tops = components(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")))
     reps = classes.join(links, "rep", "left").join(tops.withColumnRenamed("node", "rep"), "rep", "left")
