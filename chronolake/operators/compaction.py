@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def oldest(snapshots: list[int], last: int) -> int:
@@ -13,9 +12,10 @@ def oldest(snapshots: list[int], last: int) -> int:
 
 
 def drop_shadowed(log: DataFrame, s: int) -> DataFrame:
-    """A version goes if the next newer version of its key is visible at s."""
-    newer = F.lag("seq").over(Window.partitionBy("user_key").orderBy(F.desc("seq")))
-    return log.withColumn("_newer", newer).where(F.col("_newer").isNull() | (F.col("_newer") > s)).drop("_newer")
+    """A version goes if the next newer version of its key is visible at s. So all versions after s stay, and of the others each key's
+    newest: an aggregate in parts, whatever a key's share of the versions."""
+    newest = log.where(F.col("seq") <= s).groupBy("user_key").agg(F.max_by(F.struct("seq", "type", "value"), "seq").alias("v"))
+    return log.where(F.col("seq") > s).select("user_key", "seq", "type", "value").unionByName(newest.select("user_key", "v.seq", "v.type", "v.value"))
 
 
 def dead_tombstones(log: DataFrame, s: int, deeper: DataFrame | None = None) -> DataFrame:

@@ -48,8 +48,10 @@ def scan_anti(log: DataFrame) -> DataFrame:
 
 
 def intervals(log: DataFrame) -> DataFrame:
-    """Validity of versions: [seq, next seq of the key)."""
-    return log.select("user_key", F.col("seq").alias("valid_from"), F.lead("seq").over(Window.partitionBy("user_key").orderBy("seq")).alias("valid_to"), "type")
+    """Validity of versions: [seq, next seq of the key), in the log's global order, so that a hot key's versions lie in many ranges."""
+    own = log.select("user_key", "seq", "type", F.struct("user_key", "seq").alias("_own"))
+    rows = adjacent(own, [F.col("user_key"), F.col("seq")], "_own")
+    return rows.select("user_key", F.col("seq").alias("valid_from"), F.when(F.col("next.user_key") == F.col("user_key"), F.col("next.seq")).alias("valid_to"), "type")
 
 
 def ordered(df: DataFrame, order: list[Column]) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,16 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        dropped(spark, _scopes.pop())
+
+
 def kept_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """written(make()), after which the tables that make() wrote on its way are deleted."""
     before = len(_scopes)

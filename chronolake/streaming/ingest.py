@@ -1,25 +1,33 @@
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
+from ..operators import reads
+from ..shared import scratch
+from ..sources.files import Files
 from ..sources.store import Store
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, order: str = "op_order") -> StreamingQuery:
-    """Every micro-batch of (user_key, type, value, order) becomes one atomic batch, in the given order. A micro-batch that was committed
-    before a failure is recognised by the marker that is made after its commit."""
+    """Every micro-batch of (user_key, type, value, order) becomes one atomic batch, in the given order, which must be total in a batch.
+
+    The commit itself names the stream, by the id that its checkpoint keeps, and the micro-batch: one that was committed before a failure
+    is not applied again, and streams with checkpoints of their own do not meet.
+    """
+    place = Files(stream.sparkSession, checkpoint)
+
     def write(batch: DataFrame, number: int) -> None:
-        mark = f"streams/{number:012d}"
-        if store.files.fs.exists(store.files.path(mark)):
+        name = json.loads(place.read("metadata").decode())["id"]
+        store.refresh()
+        if number <= store.streams.get(name, -1):
             return
-        spread = batch.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-        before = spread.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-        ops = spread.join(F.broadcast(before), "_p").withColumn("op_idx", F.row_number().over(Window.partitionBy("_p").orderBy(order)) + F.col("_before") - 1)
-        store.write_ops(ops.select("op_idx", "user_key", "type", "value"))
-        store.files.create(mark, "")
+        with scratch(batch.sparkSession):
+            ops = reads.positions(batch.select("user_key", "type", "value", F.col(order).alias("_order")), [F.col("_order")])
+            store.write_ops(ops.select((F.col("pos") - 1).alias("op_idx"), "user_key", "type", "value"), streams={name: number})
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
