@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import LOG_BLOCK, LOG_HEADER
+
 
 def pack_trailer(seq: Column, type_: Column) -> Column:
     return F.shiftleft(seq, 8).bitwiseOR(type_.cast("long"))
@@ -74,25 +79,89 @@ def rle_bytes(run: Column) -> Column:
     return F.floor(run / 255) * 3 + F.when(rest >= 4, 3).otherwise(rest)
 
 
-def fragments(size: Column, block: int = 32768, header: int = 7) -> Column:
+def fragments(size: Column, block: int = LOG_BLOCK, header: int = LOG_HEADER) -> Column:
     """Log fragments of a record that starts a block; an empty record has one."""
     return F.greatest(F.ceil(size / (block - header)), F.lit(1)).cast("long")
 
 
+def laid_out(records: pd.DataFrame) -> pd.DataFrame:
+    """Records (doc_id, size, log) of one log, in the order of doc_id: where each one's first header stands, and its fragments. A block that
+    has no room for a header is left."""
+    at, starts, counts = 0, [], []
+    records = records.sort_values("doc_id")
+    for size in records["size"].tolist():
+        room = LOG_BLOCK - at % LOG_BLOCK
+        if room < LOG_HEADER:
+            at, room = at + room, LOG_BLOCK
+        n = 1 + max(0, -(-(size - (room - LOG_HEADER)) // (LOG_BLOCK - LOG_HEADER)))
+        starts.append(at)
+        counts.append(n)
+        at += size + n * LOG_HEADER
+    return records[["doc_id", "log"]].assign(start=starts, fragments=counts)
+
+
+#: Seed and multiplier of the filter's hash, and its two shifts.
+_SEED, _TIMES, _SHIFT, _LAST_SHIFT = 0xBC9F1D34, 0xC6A4A793, 16, 24
+_U32 = 0xFFFFFFFF
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), x evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def _times32(x: Column, by: int) -> Column:
+    """The product's lowest 32 bits, of numbers of 32 bits: by halves, as a long product would overflow."""
+    low, high = x.bitwiseAND(F.lit(0xFFFF)) * F.lit(by), F.shiftrightunsigned(x, 16) * F.lit(by)
+    return (low + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_U32))
+
+
+def filter_hash(key: Column) -> Column:
+    """The bloom filter's 32-bit hash of bytes, as a long: little-endian words of four are added, multiplied and folded in turn, then what
+    is left over."""
+    hexed = F.hex(key.cast("binary"))
+    n = F.octet_length(key)
+
+    def little(start: Column, size: int) -> Column:
+        return F.conv(F.concat(*[F.substring(hexed, 2 * (start + i) + 1, F.lit(2)) for i in reversed(range(size))]), 16, 10).cast("long")
+
+    def folded(h: Column, word: Column, shift: int) -> Column:
+        return _let((h + word).bitwiseAND(F.lit(_U32)), lambda x: _let(_times32(x, _TIMES), lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, shift))))
+
+    words = F.when(n >= 4, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (n / 4).cast("int") - 1)), lambda i: little(4 * i, 4))).otherwise(F.array().cast("array<long>"))
+    h = F.aggregate(words, F.lit(_SEED).cast("long").bitwiseXOR(_times32(n.cast("long"), _TIMES)), lambda h, w: folded(h, w, _SHIFT))
+    rest, start = n % 4, n - n % 4
+    left = F.when(rest == 3, little(start, 3)).when(rest == 2, little(start, 2)).when(rest == 1, little(start, 1))
+    return _let(h, lambda h: F.when(rest == 0, h).otherwise(folded(h, left, _LAST_SHIFT)))
+
+
 def bloom_probes(key: Column, bits: int, hashes: int) -> Column:
-    """Bit positions of a key: double hashing of two halves of a 64-bit hash."""
-    h = F.xxhash64(key)
-    step = F.shiftrightunsigned(h, 17).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h.bitwiseAND(F.lit(0x7FFFFFFF)) + i * step, F.lit(bits)))
+    """Bit positions of a key: its hash, then steps of the hash turned right by 17 bits."""
+    def probes(h: Column) -> Column:
+        step = F.shiftrightunsigned(h, 17).bitwiseOR(F.shiftleft(h, 15)).bitwiseAND(F.lit(_U32))
+        return _let(step, lambda step: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod((h + i.cast("long") * step).bitwiseAND(F.lit(_U32)), F.lit(bits))))
+
+    return _let(filter_hash(key), probes)
 
 
 def bloom_shape(keys: int, bits_per_key: int = 10) -> tuple[int, int]:
-    """Bits (64 at least) and hashes (1 to 30) of a filter."""
-    return max(64, keys * bits_per_key), min(30, max(1, int(bits_per_key * 0.69)))
+    """Bits (64 at least, whole bytes) and hashes (1 to 30) of a filter."""
+    return -(-max(64, keys * bits_per_key) // 8) * 8, min(30, max(1, int(bits_per_key * 0.69)))
 
 
 def shard_of(key: Column, shards: int = 16) -> Column:
-    return F.pmod(F.hash(key), F.lit(shards))
+    """By the first 32 bits of a digest, which any engine has."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(shards))
+
+
+def char_at(x: Column, i: Column) -> Column:
+    """The character at an index from 0; null where there is none."""
+    return F.when((i >= 0) & (i < F.length(x)), F.substring(x, i + 1, F.lit(1)))
+
+
+def to_text(x: Column) -> Column:
+    """Bytes as text, up to the first zero byte."""
+    return F.substring_index(F.decode(x, "UTF-8"), "\0", 1)
 
 
 def compare(a: Column, b: Column) -> Column:

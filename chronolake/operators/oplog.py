@@ -26,9 +26,8 @@ def batch_summary(log: DataFrame, size: int) -> DataFrame:
 
 def append(first: DataFrame, second: DataFrame) -> DataFrame:
     """One batch after another: the second's operations are renumbered to follow the first's last, kept in their own order and gaps."""
-    shift = first.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last")).crossJoin(second.agg(F.coalesce(F.min("seq"), F.lit(1)).alias("_first")))  # one row
-    moved = second.crossJoin(F.broadcast(shift)).withColumn("seq", F.col("seq") - F.col("_first") + F.col("_last") + 1).drop("_last", "_first")
-    return first.unionByName(moved)
+    last, least = first.agg(F.coalesce(F.max("seq"), F.lit(0))).scalar(), second.agg(F.coalesce(F.min("seq"), F.lit(1))).scalar()
+    return first.unionByName(second.withColumn("seq", F.col("seq") - least + last + 1))
 
 
 def replay(*parts: DataFrame) -> DataFrame:

@@ -78,6 +78,17 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "_p").withColumn("pos", F.col("_before") + F.col("_i") + 1).drop("_before")
 
 
+def running_sums(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """df with each value replaced by its running sum in the order, own row included: summed within ranges and offset by the sums of the
+    ranges before, so no task holds the table. Where rows tie, their order among each other is any."""
+    rows = ordered(df, order)
+    sums = rows.groupBy("_p").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = sums.select("_p", *[(F.sum(f"_{v}").over(Window.orderBy("_p")) - F.col(f"_{v}")).alias(f"_{v}") for v in values])  # a row a range
+    own = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({v: F.sum(v).over(own) for v in values}).join(F.broadcast(before), "_p")
+    return rows.withColumns({v: F.col(v) + F.col(f"_{v}") for v in values}).drop("_p", "_i", *[f"_{v}" for v in values])
+
+
 def adjacent(df: DataFrame, order: list[Column], column: str) -> DataFrame:
     """df with pos, prev and next: the column's values in the rows before and after in a total order, null at the ends. Neighbours are
     sought inside ranges; what a range's first and last rows miss comes from the ends of the ranges beside it, a row a range."""

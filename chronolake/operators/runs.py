@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import LEVEL_BYTES, LEVEL_GROWTH
-from .reads import ordered
+from .reads import positions, running_sums
 
 
 def file_stats(log: DataFrame, file: Column) -> DataFrame:
@@ -25,13 +24,8 @@ def entry_bytes() -> Column:
 
 
 def running(log: DataFrame, order: list[Column]) -> DataFrame:
-    """bytes of each entry, and sofar: running bytes in a total order, own entry included; summed within ranges and offset by the sums of
-    the ranges before, so no task holds the log."""
-    rows = ordered(log.withColumn("bytes", entry_bytes()), order)
-    sums = rows.groupBy("_p").agg(F.sum("bytes").alias("_b"))
-    before = sums.select("_p", (F.sum("_b").over(Window.orderBy("_p")) - F.col("_b")).alias("_before"))  # a row a range
-    own = F.sum("bytes").over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("sofar", own).join(F.broadcast(before), "_p").withColumn("sofar", F.col("sofar") + F.col("_before")).drop("_p", "_i", "_before")
+    """bytes of each entry, and sofar: running bytes in a total order, own entry included."""
+    return running_sums(log.withColumn("bytes", entry_bytes()).withColumn("sofar", F.col("bytes")), order, ["sofar"])
 
 
 def cut(log: DataFrame, order: list[Column], size: int) -> DataFrame:
@@ -39,16 +33,35 @@ def cut(log: DataFrame, order: list[Column], size: int) -> DataFrame:
     return running(log, order).withColumn("part", F.floor((F.col("sofar") - 1) / size).cast("long"))
 
 
+def _ends(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, begun, over) for intervals (id, low, high): files that begin at high or before, and files that end before low. Ends of all
+    are brought into one order and counted as it goes by; no interval meets another."""
+    end = lambda df, x, kind, a, b, i: df.select(F.col(x).alias("x"), F.lit(kind).alias("kind"), F.lit(a).alias("begun"), F.lit(b).alias("over"), i.alias("id"))
+    none = F.lit(None).cast(asked.schema["id"].dataType)
+    # of equal ends: a file's start, then a high, then a low, then a file's end
+    rows = end(files, "smallest", 0, 1, 0, none).unionByName(end(asked, "high", 1, 0, 0, F.col("id"))).unionByName(end(asked, "low", 2, 0, 0, F.col("id"))).unionByName(end(files, "largest", 3, 0, 1, none))
+    rows = running_sums(rows, [F.col("x"), F.col("kind")], ["begun", "over"]).where(F.col("kind").isin(1, 2))
+    return rows.groupBy("id").agg(F.max(F.when(F.col("kind") == 1, F.col("begun"))).alias("begun"), F.max(F.when(F.col("kind") == 2, F.col("over"))).alias("over"))
+
+
+def meets(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, meets): how many files' key ranges [smallest, largest] meet each interval [low, high]; ids are distinct."""
+    return _ends(asked, files).select("id", (F.col("begun") - F.col("over")).cast("long").alias("meets"))
+
+
 def overlaps(files: DataFrame) -> DataFrame:
-    """(a_file, b_file), a < b, of files whose key ranges meet. Files are metadata, a row per file of a level: a theta join."""
-    a = files.select(F.col("file_number").alias("a_file"), F.col("smallest").alias("s1"), F.col("largest").alias("l1"))
-    b = files.select(F.col("file_number").alias("b_file"), F.col("smallest").alias("s2"), F.col("largest").alias("l2"))
-    return a.join(b, (F.col("a_file") < F.col("b_file")) & ~((F.col("l1") < F.col("s2")) | (F.col("l2") < F.col("s1")))).select("a_file", "b_file")
+    """(a_file, b_file), a < b, of files whose key ranges meet. In the order of their starts, a file meets just those after it that begin by
+    its end: their places are listed and joined by equality, so nothing is made but the pairs themselves."""
+    placed = positions(files.select("file_number", "smallest", "largest"), [F.col("smallest"), F.col("file_number")])
+    begun = _ends(files.select(F.col("file_number").alias("id"), F.col("smallest").alias("low"), F.col("largest").alias("high")), files).select(F.col("id").alias("file_number"), "begun")
+    after = placed.join(begun, "file_number").where("begun > pos").select(F.col("file_number").alias("a"), F.explode(F.sequence(F.col("pos") + 1, "begun")).alias("pos"))
+    pairs = after.join(placed.select("pos", F.col("file_number").alias("b")), "pos")
+    return pairs.select(F.least("a", "b").alias("a_file"), F.greatest("a", "b").alias("b_file"))
 
 
 def prune(keys: DataFrame, files: DataFrame) -> DataFrame:
-    """(user_key, candidate_files): how many files may hold each key."""
-    return keys.join(files, F.col("user_key").between(F.col("smallest"), F.col("largest")), "left").groupBy("user_key").agg(F.count("file_number").alias("candidate_files"))
+    """(user_key, candidate_files): how many files may hold each distinct key."""
+    return meets(keys.select(F.col("user_key").alias("id"), F.col("user_key").alias("low"), F.col("user_key").alias("high")).distinct(), files).select(F.col("id").alias("user_key"), F.col("meets").alias("candidate_files"))
 
 
 def scores(files: DataFrame, levels: int) -> DataFrame:
@@ -79,9 +92,9 @@ def pick_inputs(files: DataFrame, level: int) -> DataFrame:
 
 def trivial_moves(files: DataFrame, level: int) -> DataFrame:
     """(number, old_level, new_level) of the level's files that nothing on the next level overlaps: metadata moves, no data does."""
-    f, n = files.where(F.col("level") == level).alias("f"), files.where(F.col("level") == level + 1).alias("n")
-    hit = ~((F.col("f.largest") < F.col("n.smallest")) | (F.col("n.largest") < F.col("f.smallest")))
-    return f.join(n, hit, "left_anti").select("number", F.col("level").alias("old_level"), (F.col("level") + 1).alias("new_level"))
+    own = files.where(F.col("level") == level).select(F.col("number").alias("id"), F.col("smallest").alias("low"), F.col("largest").alias("high"))
+    free = meets(own, files.where(F.col("level") == level + 1)).where("meets = 0")
+    return free.select(F.col("id").alias("number"), F.lit(level).alias("old_level"), F.lit(level + 1).alias("new_level"))
 
 
 def replay_edits(edits: DataFrame) -> DataFrame:

@@ -19,6 +19,18 @@ _LINES = """g AS (SELECT CAST(number % 7 AS INT) AS level, count(*) AS n, sum(si
   FROM range(7) t(i) LEFT JOIN g ON g.level = i)"""
 
 
+def _little(start: str, size: int) -> str:
+    """The number of some bytes, lowest first, of the key's hex."""
+    return "CAST('0x' || " + " || ".join(f"substr(x, 2 * ({start} + {i}) + 1, 2)" for i in reversed(range(size))) + " AS UBIGINT)"
+
+
+_WORDS = "z AS (SELECT k, strlen(k) AS n, hex(k) AS x FROM (SELECT DISTINCT c_name AS k FROM customer))"
+_HASH = (_WORDS, f"a AS (SELECT *, list_reduce(list_prepend(xor(3164544308::UBIGINT, n::UBIGINT * 3332679571 % 4294967296), list_transform(range(0, n // 4), lambda i: {_little('4 * i', 4)})), lambda h, w: xor((h + w) % 4294967296 * 3332679571 % 4294967296, ((h + w) % 4294967296 * 3332679571 % 4294967296) >> 16)) AS h0 FROM z)",
+         f"""t AS (SELECT *, CASE n % 4 WHEN 3 THEN {_little('n - 3', 3)} WHEN 2 THEN {_little('n - 2', 2)} WHEN 1 THEN {_little('n - 1', 1)} ELSE 0 END AS rest FROM a)""",
+         "u AS (SELECT *, (h0 + rest) % 4294967296 * 3332679571 % 4294967296 AS v FROM t)", "g AS (SELECT k, CASE WHEN n % 4 = 0 THEN h0 ELSE xor(v, v >> 24) END AS h FROM u)")
+_FILTER = (*_HASH, "s AS (SELECT (greatest(64, count(*) * 10) + 7) // 8 * 8 AS bits FROM g)", "p AS (SELECT k, CAST((h + i::UBIGINT * ((h >> 17) | (h << 15) % 4294967296)) % 4294967296 % bits AS BIGINT) AS bit FROM g, s, range(6) q(i))")
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ", ".join(parts) + " "
 
@@ -48,7 +60,7 @@ ORACLES = {
     "last_sequence": _with(_LOG) + "SELECT max(seq) AS last_sequence FROM oplog",
     "write_batch": "SELECT o_orderkey // 100 AS batch_id, 1 + o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS type, CAST(o_custkey AS VARCHAR) AS user_key FROM orders",
     "batch_counts": _with(_LOG) + "SELECT (seq - 1) // 100 AS batch_id, min(seq) AS sequence, count(*) AS cnt, CAST(sum(type) AS BIGINT) AS puts, CAST(sum(1 - type) AS BIGINT) AS deletes FROM oplog GROUP BY 1",
-    "batch_append": _with(_LOG) + "SELECT CASE WHEN seq <= 300 THEN seq ELSE seq - (SELECT min(seq) FROM oplog WHERE seq BETWEEN 5001 AND 5200) + (SELECT max(seq) FROM oplog WHERE seq <= 300) + 1 END AS new_seq, user_key, type FROM oplog WHERE seq <= 300 OR seq BETWEEN 5001 AND 5200",
+    "batch_append": _with(_LOG, "h AS (SELECT max(seq) // 2 AS m FROM oplog)", "e AS (SELECT min(seq) AS least FROM oplog, h WHERE seq <= m)", "t AS (SELECT max(seq) AS last FROM oplog, h WHERE seq > m)") + "SELECT CASE WHEN seq > m THEN seq ELSE seq - least + last + 1 END AS new_seq, user_key, type FROM oplog, h, e, t",
     "wal_replay": _with(_LOG) + "SELECT user_key, seq, type FROM oplog",
     "wal_fragments": "SELECT doc_id, CAST(greatest(ceil(strlen(text) / 32761.0), 1) AS BIGINT) AS fragments FROM documents",
     "version_intervals": _with(_LOG) + "SELECT user_key, seq AS valid_from, lead(seq) OVER (PARTITION BY user_key ORDER BY seq) AS valid_to, type FROM oplog",
@@ -84,9 +96,24 @@ ORACLES = {
     "restart_points": _with(_NAMES, _POS) + "SELECT k, (rn - 1) % 16 = 0 AS is_restart FROM p",
     "rle_runs": _with(_RUNS) + "SELECT * FROM q",
     "rle_size": _with(_RUNS) + "SELECT symbol, CAST(sum(run_len // 255 * 3 + CASE WHEN run_len % 255 >= 4 THEN 3 ELSE run_len % 255 END) AS BIGINT) AS encoded_bytes FROM q GROUP BY 1",
-    "slice_compare": "SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name < b.n_name THEN -1 WHEN a.n_name > b.n_name THEN 1 ELSE 0 END AS cmp FROM nation a, nation b",
+    "slice_compare": "SELECT n_name AS a, r_name AS b, CASE WHEN n_name < r_name THEN -1 WHEN n_name > r_name THEN 1 ELSE 0 END AS cmp FROM nation JOIN region ON n_regionkey = r_regionkey",
     "slice_prefix": "SELECT c_custkey, CASE WHEN starts_with(c_name, 'Customer#') THEN substr(c_name, 10) ELSE c_name END AS rest FROM customer",
-    "checksum_verify": "SELECT doc_id, true AS ok FROM documents",
-    "bloom_no_false_negative": "SELECT CAST(0 AS BIGINT) AS misses",
+    "checksum_verify": "SELECT doc_id, NOT (doc_id % 100 = 7 AND length(coalesce(text, '')) > 0) AS ok FROM documents",
+    "bloom_no_false_negative": _with(*_FILTER, "b AS (SELECT DISTINCT bit FROM p)") + "SELECT count(DISTINCT k) AS misses FROM p WHERE bit NOT IN (SELECT bit FROM b)",
+    "bloom_bits": _with(*_FILTER) + "SELECT DISTINCT bit AS bitpos FROM p",
+    "filter_hash": _with(*_HASH) + "SELECT c_custkey, CAST(h AS BIGINT) AS hash FROM customer JOIN g ON k = c_name",
+    "crc32c": "SELECT c_custkey, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, strlen(c_name) + 1), lambda i: ord(c_name[i])::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda r, z: xor(r >> 1, 2197175160 * (r & 1)))), 4294967295::UBIGINT) AS BIGINT) AS crc FROM customer",
+    "rle_values": "SELECT event_id, true AS same, CAST(strlen(event_type) * (1 + event_id % 3) AS BIGINT) AS size FROM events",
+    "shard_counts": "SELECT CAST('0x' || substr(md5(c_name), 1, 8) AS BIGINT) % 16 AS shard, count(*) AS n FROM customer GROUP BY 1",
+    "slice_at": "SELECT c_custkey, CASE WHEN c_custkey % 20 < length(c_name) THEN substr(c_name, c_custkey % 20 + 1, 1) END AS char_at, c_name AS as_text FROM customer",
+    "wal_layout": """WITH RECURSIVE d AS (SELECT doc_id, coalesce(strlen(text), 0) AS size, greatest(sum(coalesce(strlen(text), 0)) OVER (ORDER BY doc_id) - 1, 0)::BIGINT // 4194304 AS log FROM documents),
+      r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY log ORDER BY doc_id) AS rn FROM d),
+      w AS (SELECT r.*, 0::BIGINT AS start, 1 + greatest(0, (size - 32761 + 32760) // 32761) AS fragments FROM r WHERE rn = 1
+        UNION ALL SELECT doc_id, size, log, rn, start, 1 + greatest(0, (size - (32768 - start % 32768 - 7) + 32760) // 32761) AS fragments
+        FROM (SELECT r.*, e + CASE WHEN 32768 - e % 32768 < 7 THEN 32768 - e % 32768 ELSE 0 END AS start FROM r JOIN (SELECT log, rn, start + size + 7 * fragments AS e FROM w) p ON r.log = p.log AND r.rn = p.rn + 1))
+      SELECT doc_id, log, start, CAST(fragments AS BIGINT) AS fragments FROM w""",
+    "latest_lines": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS rn,
+        count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS versions FROM lineitem)
+      SELECT l_orderkey || '-' || l_linenumber AS user_key, versions, l_shipdate AS shipped, l_extendedprice AS value FROM r WHERE rn = 1 AND l_returnflag <> 'R'""",
     "cli_fill_shape": "SELECT printf('key_%010d', i) AS k, CAST(512 AS BIGINT) AS value_len FROM range(10000) t(i)",
 }

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec as C
+from ..functions import native_bytes as N
 from ..operators import compaction, oplog, reads, runs
-from ..schema import RESTART
+from ..schema import FLUSH_BYTES, RESTART
 from ..shared import written
 
 AT, OPS, BATCH, LAST = 5000, 1000, 100, 6
@@ -62,8 +63,10 @@ def write_batch(s, d):
 
 
 def batch_append(s, d):
+    """The log's later half as one batch, then its earlier half appended to it."""
     x = log(s, d).select("user_key", "seq", "type")
-    return oplog.append(x.where("seq <= 300"), x.where("seq BETWEEN 5001 AND 5200")).select(F.col("seq").alias("new_seq"), "user_key", "type")
+    middle = x.agg(F.floor(F.max("seq") / 2)).scalar()
+    return oplog.append(x.where(F.col("seq") > middle), x.where(F.col("seq") <= middle)).select(F.col("seq").alias("new_seq"), "user_key", "type")
 
 
 def wal_replay(s, d):
@@ -76,6 +79,15 @@ def multi_get(s, d):
     return reads.multi_get(log(s, d), keys)
 
 
+def latest_lines(s, d):
+    """lineitem as a changelog: a key for each line of an order, numbered by when it shipped; returned lines are deletes."""
+    line = table(s, d, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    order = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    newest = line.groupBy(key.alias("user_key")).agg(F.count("*").alias("versions"), F.max(order).alias("v"))
+    return newest.where("v.l_returnflag <> 'R'").select("user_key", "versions", F.col("v.l_shipdate").alias("shipped"), F.col("v.l_extendedprice").alias("value"))
+
+
 def contains_key(s, d):
     keys = log(s, d).select(F.col("user_key").cast("long").alias("c_custkey")).distinct()
     return table(s, d, "customer").select("c_custkey").join(keys, "c_custkey", "left_semi")
@@ -111,15 +123,26 @@ def rle_runs(s, d):
     e = table(s, d, "events").select("event_id", "event_type")
     p = reads.adjacent(e, [F.col("event_id")], "event_type")
     starts = p.where((F.col("pos") == 1) | ~F.col("prev").eqNullSafe(F.col("event_type"))).select(F.col("pos").alias("at"), "event_id", "event_type")
-    ended = reads.adjacent(starts, [F.col("at")], "at").crossJoin(F.broadcast(e.agg((F.count("*") + 1).alias("end"))))  # one row
-    return ended.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("run_start"), (F.coalesce("next", "end") - F.col("at")).cast("long").alias("run_len"))
+    end = e.agg(F.count("*") + 1).scalar()
+    return reads.adjacent(starts, [F.col("at")], "at").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("run_start"), (F.coalesce("next", end) - F.col("at")).cast("long").alias("run_len"))
+
+
+def wal_layout(s, d):
+    """documents' texts as records of logs that are closed at 4 MiB: where each begins, after padding, and its fragments. Each log is laid
+    out by one task; a log is bounded."""
+    records = table(s, d, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    cut = reads.running_sums(records.withColumn("sofar", F.col("size")), [F.col("doc_id")], ["sofar"])
+    cut = cut.withColumn("log", F.floor(F.greatest(F.col("sofar") - 1, F.lit(0)) / FLUSH_BYTES).cast("long"))
+    return cut.groupBy("log").applyInPandas(C.laid_out, "doc_id long, log long, start long, fragments long")
 
 
 def checksum_verify(s, d):
-    """Checksums kept beside a copy of the rows, checked against the rows read again."""
-    docs = table(s, d, "documents").select("doc_id", "text")
-    kept = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("kept"))
-    return docs.join(kept, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).eqNullSafe(F.col("kept")).alias("ok"))
+    """Rows kept with their checksums, some of which have lost their last character since, read again and checked."""
+    docs = table(s, d, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept"))
+    kept = written(docs)
+    damaged = F.when(F.col("doc_id") % 100 == 7, F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
+    again = written(kept.withColumn("text", damaged))
+    return again.select("doc_id", (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("kept")).alias("ok"))
 
 
 def _bloom(s, d):
@@ -141,8 +164,9 @@ def bloom_no_false_negative(s, d):
 
 
 def slice_compare(s, d):
-    n = table(s, d, "nation").select("n_name")
-    return n.select(F.col("n_name").alias("a")).crossJoin(n.select(F.col("n_name").alias("b"))).select("a", "b", C.compare(F.col("a"), F.col("b")).alias("cmp"))
+    """Names of nations and of their regions."""
+    both = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.select(F.col("n_name").alias("a"), F.col("r_name").alias("b"), C.compare(F.col("n_name"), F.col("r_name")).alias("cmp"))
 
 
 def ikey_pack(s, d):
@@ -195,6 +219,8 @@ QUERIES = {
     "batch_append": batch_append,
     "wal_replay": wal_replay,
     "wal_fragments": lambda s, d: table(s, d, "documents").select("doc_id", C.fragments(F.octet_length("text")).alias("fragments")),
+    "wal_layout": wal_layout,
+    "latest_lines": latest_lines,
     "version_intervals": lambda s, d: reads.intervals(log(s, d)),
     "merge_runs": merge_runs,
     "seek_ge": seek_ge,
@@ -227,8 +253,12 @@ QUERIES = {
     "rle_runs": rle_runs,
     "rle_size": lambda s, d: rle_runs(s, d).groupBy("symbol").agg(F.sum(C.rle_bytes(F.col("run_len"))).alias("encoded_bytes")),
     "slice_compare": slice_compare,
+    "slice_at": lambda s, d: names(s, d).select("c_custkey", C.char_at(F.col("c_name"), (F.col("c_custkey") % 20).cast("int")).alias("char_at"), C.to_text(F.col("c_name").cast("binary")).alias("as_text")),
     "slice_prefix": lambda s, d: names(s, d).select("c_custkey", C.remove_prefix(F.col("c_name"), "Customer#").alias("rest")),
     "checksum_verify": checksum_verify,
+    "crc32c": lambda s, d: names(s, d).select("c_custkey", N.crc32c_of(F.col("c_name").cast("binary")).alias("crc")),
+    "filter_hash": lambda s, d: names(s, d).select("c_custkey", C.filter_hash(F.col("c_name")).alias("hash")),
+    "rle_values": lambda s, d: table(s, d, "events").select("event_id", (N.rle_uncompress(N.rle_compress(F.col("props").cast("binary"))) == F.col("props").cast("binary")).alias("same"), F.octet_length(N.rle_compress(F.repeat("event_type", 1 + F.col("event_id").cast("int") % 3).cast("binary"))).cast("long").alias("size")),
     "bloom_bits": bloom_bits,
     "bloom_no_false_negative": bloom_no_false_negative,
     "shard_counts": lambda s, d: names(s, d).groupBy(C.shard_of(F.col("c_name")).alias("shard")).agg(F.count("*").alias("n")),
