@@ -66,8 +66,8 @@ class Lists:
             whole = np.array([depth == self.n or bool((lower[c, i] == upper[c, i]).all()) for i, c in enumerate(can.T)])
             for i in np.flatnonzero(whole):
                 some = np.flatnonzero(can[:, i])
-                best = np.lexsort((ids[some], -score[some, i]))[:k]
-                yield int(active[i]), ids[some][best], score[some[best], i], float(depths[active[i]])
+                best = np.lexsort((ids[some], -lower[some, i]))[:k]  # where both bounds agree, they are the score, read to its end or not
+                yield int(active[i]), ids[some][best], lower[some[best], i], float(depths[active[i]])
             if whole.all():
                 return
             if whole.any():

@@ -2,11 +2,13 @@
 
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from chronolake.llm import bpe, common, embedding_dedup, jaccard, language, lattice, lm_scoring, mixing, packing, sharding, topk, toxicity, url_filter
@@ -223,7 +225,7 @@ def test_recall_at_the_threshold():
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     t = embedding_dedup.Tables()
-    for cosine, least in ((0.951, 0.9), (0.97, 0.98)):
+    for t, cosine, least in ((t, 0.951, 0.9), (t, 0.97, 0.98), (t.suited(10**8), 0.951, 0.9), (t.suited(10**8), 0.97, 0.98)):
         ka, kb = t.keys(a), t.keys(cosine * a + math.sqrt(1 - cosine**2) * b)
         met = (ka == kb[:, :, :1]).any((1, 2)) | (kb == ka[:, :, :1]).any((1, 2))
         assert met.mean() >= least
@@ -249,6 +251,89 @@ def test_shards(spark, odd, empty):
     assert sharding.shard(empty, 8).count() == 0
 
 
+def chained(*parts):
+    """What Spark's xxhash64 of these columns is: each value is hashed with what came before as its seed."""
+    h = 42
+    for p in parts:
+        if p is not None:
+            raw = p.encode() if isinstance(p, str) else struct.pack("<i", p[0]) if isinstance(p, tuple) else struct.pack("<q", p)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h
+
+
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
+@pytest.mark.parametrize("shards", [1, 2, 8, 1000])
+def test_shards_are_those_of_a_plain_jump_hash(spark, shards):
+    def plain(key):
+        b, j = 0, 0
+        while j < shards:
+            b = j
+            j = max(int(min((j + 1) / (((chained(key, j) >> 11) + 1) / 2**53), 2.0**53)), j + 1)
+        return b, shards if j == shards else b
+
+    keys = [*range(2000), -1, 2**60 + 1, 2**63 - 1, None]
+    df = spark.createDataFrame([(k, "t") for k in keys], "doc_id long, text string")
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard(df, shards).collect()}
+    assert got == {k: plain(None if k is None else str(k)) for k in keys}
+
+
+def test_mixing_realises_the_blocks_of_a_plain_version(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(1, 60)), ["big", "mid", "small", None][int(np.searchsorted([0.7, 0.92, 0.98], rng.random()))]) for i in range(1500)]
+    rows += [(7, "again " * 9, "big"), (7, "again " * 9, "big"), (None, "no key", "mid"), (5000, None, "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target, size = mixing.Target(repetition=3.0), 64
+    got = Counter((r["doc_id"], r["_tokens"], r["source"], r["_epoch"]) for r in mixing.mix(df, target, block_tokens=size).collect())
+    tokens = lambda t: len((t or "").split()) + 1
+    total = defaultdict(int)
+    for _, t, s in rows:
+        total[s] += tokens(t)
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    low, high = 0.0, 1.0
+    for _ in range(60):  # the smallest exponent that keeps the spread of uses within the limit
+        a = (low + high) / 2
+        uses = [x ** (a - 1) for x in share.values()]
+        low, high = (low, a) if max(uses) / min(uses) <= target.repetition else (a, high)
+    z = sum(x**high for x in share.values())
+    spend = sum(total.values()) * z * max(x ** (1 - high) for x in share.values())
+    want = Counter()
+    for s, t in total.items():
+        passes = share[s] ** high / z * spend / t
+        whole, blocks = int(passes + 1e-9), max(64, -(-t // size))
+        turn = lambda e, b: chained((0,), (e,), s, b) % 2**24  # noqa: E731, B023
+        mine = [(k, tokens(x), signed(chained((0,), "block", k)) % blocks) for k, x, y in rows if y == s]
+        sizes = Counter()
+        for _, n, b in mine:
+            sizes[b] += n
+        used, sofar = set(), 0
+        for b in sorted(sizes, key=lambda b: (turn(whole, b), b)):
+            if sofar < (passes - whole) * t - 0.5:
+                used.add(b)
+            sofar += sizes[b]
+        for k, n, b in mine:
+            for e in range(whole + (b in used)):
+                want[(k, n, s, e)] += 1
+    assert sum(((got - want) + (want - got)).values()) <= 0.002 * sum(want.values())  # a block at the very edge may fall either way
+    assert got.keys() >= {(k, tokens(t), s, 0) for k, t, s in rows}
+
+
+def test_lists_stop_early_where_scores_allow_and_never_else():
+    rng = np.random.default_rng(0)
+    skewed = np.floor(64 * rng.exponential(1, (4000, 4)) ** 3)
+    for x, early in ((skewed, True), (np.floor(64 * rng.uniform(-1, 1, (700, 48))), False), (np.zeros((50, 3)), True), (np.ones((5, 2)), True)):
+        ids = rng.permutation(len(x)) * 3
+        got = list(topk.Lists(x).top(x[:40], ids[:40], ids, 20))
+        assert sorted(g[0] for g in got) == list(range(min(40, len(x))))
+        for q, best, score, depth in got:
+            s = x @ x[q]
+            order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:20]
+            assert best.tolist() == ids[order].tolist() and score.tolist() == s[order].tolist()
+        assert (np.mean([g[3] for g in got]) < 0.5) == early or len(x) < 100
+
+
 @pytest.mark.parametrize("low", [-1.0, -0.01])
 def test_topk_against_brute_force(spark, low):
     rng = np.random.default_rng(4)
@@ -423,6 +508,28 @@ def test_jaccard_against_brute_force(spark, docs, odd, width, percent, chunk):
     assert got[(None, len(sets[None]))] is None
 
 
+def test_heap_merge_against_counting():
+    rng = np.random.default_rng(1)
+    for least in (1, 2, 3, 6):
+        for n in (0, 1, 5, 12):
+            lists = [sorted(rng.choice(40, rng.integers(0, 25), replace=False).tolist()) for _ in range(n)]
+            count = Counter(x for one in lists for x in one)
+            found, many = jaccard.merged(lists, least)
+            assert dict(zip(found.tolist(), many.tolist())) == {x: k for x, k in count.items() if k >= least} and sorted(found.tolist()) == found.tolist()
+
+
+def test_jaccard_of_an_empty_table(empty):
+    assert jaccard.join(empty).count() == 0
+
+
+def test_embeddings_of_an_empty_table_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [-5.0, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0 and topk.search(df.limit(0), lambda i: i % 2 == 0).count() == 0
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+    assert topk.search(df, lambda i: i == 2).count() == 3
+
+
 def test_components_of_chains_and_empties(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99), (None, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(e).collect()}
