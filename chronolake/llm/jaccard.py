@@ -145,7 +145,7 @@ def merged(lists: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
             goal = heads[0][0]
         for i in out:
             x = lists[i]
-            n = at[i] + 1 if goal == top + 1 else bisect_left(x, goal, at[i])
+            n = bisect_left(x, goal, at[i])
             at[i] = n
             if n < len(x):
                 heapq.heappush(heads, (x[n], i))
