@@ -15,4 +15,4 @@ QUERIES = {
     "op10_jaccard": jaccard.op10_jaccard,
 }
 
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op5_topk": topk.ORACLE, "op10_jaccard": jaccard.ORACLE}
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op4_sharding": sharding.ORACLE, "op5_topk": topk.ORACLE, "op10_jaccard": jaccard.ORACLE}
