@@ -277,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     up to half; scores are set back to the share of toxic ones among all labelled. Labels that disagree: toxic. No labels: a model that finds nothing."""
     few = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(~held_out("k", folds) & F.col("y").isin(0, 1) & F.col("k").isNotNull()).groupBy("k").agg(F.max("y").alias("y"))
     few, sizes = stratified_sample(few, "k", "y", sample, "toxicity")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").join(few, "k")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(few), "k")  # about `sample` rows of key and label
     rows = sorted((str(r["k"]), r["t"], r["y"]) for r in rows.toLocalIterator())
     model = fit([r[1] for r in rows], [r[2] for r in rows])
     bad = sum(r[2] for r in rows)
