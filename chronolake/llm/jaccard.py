@@ -184,7 +184,8 @@ def text_hash(text: str | Column) -> Column:
 
 
 def _sets(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
-    """(id, x, n, h, g, prefix): the text's hash, size and 128-bit digest of each document's set, and its prefix in hash order."""
+    """(id, x, n, h, g, prefix) for every row: the text's hash, size and 128-bit digest of its set, and the set's prefix in hash order. No
+    words: n is 0 and the prefix empty. Keys pass as they are, null or not."""
     names = ["id", "x", "n", "h", "g", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ def subwords(word: str) -> list[int]:
 
 
 def letters(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased; nothing else of a text tells its language."""
+    """Runs of letters of any script, lower-cased; nothing else of a text tells its language. Null: none."""
     return _LETTERS.findall(text.lower()) if text else []
 
 
@@ -193,5 +193,6 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear."""
+    """Documents whose language is clear, as they are. Null texts and those without a letter go, like those whose score is below the
+    threshold; a null doc_id, lang or source is no reason to go; repeated rows stay or go together; an empty table stays empty."""
     return identify(docs, train(docs)).where("NOT rejected").select(*docs.columns)

@@ -141,6 +141,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, repeated so that sources meet their weights, in the order that interleaves them; every document stays at least once."""
+    """Documents, repeated so that sources meet their weights, in the order that interleaves them; every row stays at least once, whatever
+    is null in it; a null source is a source of its own; an empty table stays empty."""
     mixed = mix(docs, Target(repetition=REPETITION))
     return mixed.repartitionByRange("_order").sortWithinPartitions("_order").select(*docs.columns)

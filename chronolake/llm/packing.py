@@ -177,5 +177,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document, packed."""
+    """Pieces of every row, packed (see pack): null and empty texts are one piece of their end alone; an empty table gives none."""
     return pack(docs, tokenizer_path())

@@ -319,5 +319,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic."""
+    """Documents that are not toxic, as they are. Null and empty texts hold no evidence and stay, unless most documents are toxic; a null
+    doc_id is no reason to go; repeated rows stay or go together; an empty table stays empty, one without labels loses nothing."""
     return score(docs, _trained(spark, docs, sf_dir)).where("predicted = 0").select(*docs.columns)
