@@ -18,7 +18,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Trained models and hash permutations have no SQL form; tests hold the stages against brute force.
+#: Trained models and hash permutations have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
