@@ -19,7 +19,7 @@ from .common import bounded_sample, components, group_edges, kept_only, ordered_
 REMEMBERED = 300_000
 #: Shingles of an index that one task builds (two such chunks meet in a task). Components of more documents than PART are dealt finer, to
 #: up to PARTS chunks, so that no task has most of the work.
-CHUNK, PART, PARTS = 1_000_000, 1000, 16
+CHUNK, PART, PARTS = 1_000_000, 500, 16
 #: Documents up to which the list of those to look at closely is broadcast (8 bytes each); beyond it, Spark joins by shuffle or as it sees fit.
 SENT = 400_000
 #: The same for bare keys of documents that go.
@@ -217,11 +217,11 @@ def candidates(classes: DataFrame, rule: Rule) -> DataFrame:
     """
     frequent = _frequent(classes)
     few = F.broadcast(frequent)
-    lists = classes.select("rep", "n", F.explode("prefix").alias("token"))
+    lists = classes.select("rep", F.explode("prefix").alias("token"))
     rare = lists.join(few.select("token"), "token", "left_anti")
     # counted in part before the shuffle; the many shingles of one document only end here
     counts = rare.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    lists = lists.join(few, "token").where("df > 1").unionByName(rare.join(counts, "token"))
+    lists = lists.join(few, "token").where("df > 1").unionByName(rare.join(counts, "token")).join(classes.select("rep", "n"), "rep")
     lists = lists.withColumn("m", F.expr("count(*) OVER (PARTITION BY rep)")).withColumn("least", _spare(F.ceil(F.lit(rule.percent) * F.col("n") / 100).cast("long"), rule))
     lists = lists.where("m >= least").withColumn("r", F.expr("row_number() OVER (PARTITION BY rep ORDER BY df, token)")).where("r <= m - least + 1")
     stars = written(lists.select("rep", "token"))
@@ -320,14 +320,16 @@ PIPELINE = Rule(width=5, percent=80)
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near-duplicates, once. Rows without doc_id link with nothing and stay; rows that
     share a doc_id but not the text are judged each by its text; an empty table stays empty."""
+    longer = "_" * max(map(len, docs.columns))  # names that no column of docs has
+    by = [f"{longer}id", f"{longer}x"]
     found = kept_only(spark, lambda: _joined(docs, "doc_id", "text", PIPELINE).where("id IS NOT NULL"))
-    gone = written(found.where((F.col("top")["id"] != F.col("id")) | (F.col("top")["x"] != F.col("x"))).select(F.col("id").alias("_id"), F.col("x").alias("_x")).distinct())
+    rows = found.select(F.col("id").alias(by[0]), F.col("x").alias(by[1]), "top")
+    gone = written(rows.where((F.col("top")["id"] != F.col(by[0])) | (F.col("top")["x"] != F.col(by[1]))).select(*by).distinct())
     gone = F.broadcast(gone) if gone.count() <= SENT_KEYS else gone  # else the texts must move
-    again = found.groupBy(F.col("id").alias("_id"), F.col("x").alias("_x")).count().where("count > 1").drop("count")
-    own = docs.select("*", F.col("doc_id").cast("long").alias("_id"), text_hash("text").alias("_x"))
-    out = own.join(gone, ["_id", "_x"], "left_anti")
+    again = rows.groupBy(*by).count().where("count > 1").drop("count")
+    out = docs.select("*", F.col("doc_id").cast("long").alias(by[0]), text_hash("text").alias(by[1])).join(gone, by, "left_anti")
     if again.limit(1).count():  # rows that repeat a document: only those are brought together
-        out = out.join(again, ["_id", "_x"], "left_anti").unionByName(out.join(again, ["_id", "_x"], "left_semi").dropDuplicates(["_id", "_x"]))
+        out = out.join(again, by, "left_anti").unionByName(out.join(again, by, "left_semi").dropDuplicates(by))
     return out.select(*docs.columns)
 
 
