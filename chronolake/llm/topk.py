@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from .embedding_dedup import usable
 
-#: Rows by which all lists are read on at once, and shares of the lists after which bounds are looked at, besides at the end.
-STEP, LOOKS = 64, (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8)
+#: Shares of the lists after which bounds are looked at, besides at the end.
+LOOKS = (1 / 16, 1 / 4, 1 / 2, 3 / 4)
 
 
 class Lists:
@@ -29,41 +29,39 @@ class Lists:
         """(query, ids, scores, depth) of each query's k best, ties to the smaller id; own: the query's id, which never counts; depth: the
         share of the lists read when no candidate outside the k best and their ties could qualify any more.
 
-        All lists are read in step, and what is read is added to its candidate's partial score: candidates are never looked up. A
-        component not yet read is worth between the list's last and the one read last, which bounds every score from both sides.
-        Candidates whose upper bound is below the k-th best lower one are out; lists are read on, for those that remain only, until
-        their scores are whole.
+        All lists are read in step, and what was read since the last look is added to its candidates' partial scores, for all queries at
+        once: candidates are never looked up. A component not yet read is worth between the list's last and the one read last, which
+        bounds every score from both sides. Candidates whose upper bound is below the k-th best lower one are out; lists are read on, for
+        those that remain for some query only, until their scores are whole.
         """
-        active, out = np.arange(len(queries)), own[None, :] == ids[:, None]  # (candidates, queries): those that are out
         # all sums are of integers: single precision is exact while none can pass 2^24
         kind = np.float32 if np.abs(self.value).max() * np.abs(queries).max() * self.d < 2**24 else np.float64
-        queries, values = queries.astype(kind), self.value.astype(kind)
-        weights = [np.maximum(queries, 0).T.copy(), np.minimum(queries, 0).T.copy()]  # read from the high end, from the low end
-        score, seen = np.zeros((self.n, len(queries)), kind), [np.zeros((self.n, self.d), kind) for _ in range(2)]
-        depths, alive, everyone, read = np.ones(len(queries)), np.ones(self.n, bool), True, 0
+        values, queries = self.value.astype(kind), queries.astype(kind)
+        weights = np.concatenate([np.maximum(queries, 0).T, np.minimum(queries, 0).T])  # of what is read from the high ends, from the low ends
+        active, out = np.arange(len(queries)), own[None, :] == ids[:, None]  # (candidates, queries): those that are out
+        score, unread = np.zeros((self.n, len(queries)), kind), np.ones((self.n, 2 * self.d), kind)
+        depths, alive, read, lists = np.ones(len(queries)), np.arange(self.n), 0, np.arange(self.d)[:, None]
         for depth in sorted({max(1, int(self.n * s)) for s in LOOKS} | {self.n}):
-            for lo in range(read, depth, STEP):
-                hi = min(lo + STEP, depth)
-                for end, part in enumerate((slice(self.n - hi, self.n - lo), slice(lo, hi))):
-                    for j in np.flatnonzero(weights[end].any(1)):
-                        at, value = self.order[j, part], values[j, part]
-                        seen[end][at, j] = 1
-                        if not everyone:
-                            keep = alive[at]
-                            at, value = at[keep], value[keep]
-                        score[at] += value[:, None] * weights[end][j]
+            new = np.zeros((self.n, 2 * self.d), kind)
+            for end, part in enumerate((slice(self.n - depth, self.n - read), slice(read, depth))):
+                at = self.order[:, part], lists + end * self.d
+                new[at], unread[at] = values[:, part], 0
+            score[alive] += new[alive] @ weights
             read = depth
-            last, now = [values[:, 0], values[:, -1]], [values[:, self.n - depth], values[:, depth - 1]]
-            rest = [1 - s for s in seen]
-            lower, upper = (score + sum(rest[e] @ (weights[e] * v[e][:, None]) for e in range(2)) if depth < self.n else score for v in (last, now))
+            if depth < self.n:
+                last, now = np.concatenate([values[:, 0], values[:, -1]]), np.concatenate([values[:, self.n - depth], values[:, depth - 1]])
+                lower, upper = (score + unread @ (weights * v[:, None]) for v in (last, now))
+            else:
+                lower = upper = score
             lower = np.where(out, -np.inf, lower)
             kth = np.partition(lower, max(0, self.n - k), axis=0)[max(0, self.n - k)]
             out |= upper < kth
             can = ~out
+            many = can.sum(0)
             # no outsider is left when as many remain as there are places, or only ties
-            settled = (can.sum(0) <= k) | (np.where(can, lower, np.inf).min(0) == np.where(can, upper, -np.inf).max(0))
+            settled = (many <= k) | (np.where(can, lower, np.inf).min(0) == np.where(can, upper, -np.inf).max(0))
             depths[active] = np.where(settled, np.minimum(depths[active], depth / self.n), depths[active])
-            whole = np.array([depth == self.n or bool((lower[c, i] == upper[c, i]).all()) for i, c in enumerate(can.T)])
+            whole = np.array([depth == self.n or bool(m <= 8 * k and (lower[c, i] == upper[c, i]).all()) for i, (m, c) in enumerate(zip(many, can.T, strict=True))])
             for i in np.flatnonzero(whole):
                 some = np.flatnonzero(can[:, i])
                 best = np.lexsort((ids[some], -lower[some, i]))[:k]  # where both bounds agree, they are the score, read to its end or not
@@ -71,9 +69,8 @@ class Lists:
             if whole.all():
                 return
             if whole.any():
-                active, out, score, weights = active[~whole], out[:, ~whole], score[:, ~whole].copy(), [w[:, ~whole].copy() for w in weights]
-            alive = ~out.all(1)
-            everyone = bool(alive.all())
+                active, out, score, weights = active[~whole], out[:, ~whole], score[:, ~whole].copy(), weights[:, ~whole].copy()
+            alive = np.flatnonzero(~out.all(1))
 
 
 def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0, candidates: int = 8192, queries: int = 512) -> DataFrame:
