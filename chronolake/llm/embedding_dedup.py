@@ -22,21 +22,21 @@ _PAIRS = 100_000
 class Tables:
     """tables x blocks random projections to eight dimensions; a cell is the tuple of its blocks' E8 points.
 
-    width is the lattice's scale. With two blocks at 1/4, two vectors of 64 dimensions at cosine 0.95 meet in a table of one home and two
-    probes about half the time, so that eight tables miss about one pair in a hundred at that cosine and next to none above 0.97, while
-    one random pair in ten thousand meets. With three blocks a table finds fewer pairs and far fewer random ones meet, so there are more
-    tables: see suited.
+    width is the lattice's scale. With three blocks at 1/4, two vectors of 64 dimensions at cosine 0.95 meet in a table of one home and
+    three probes about one time in four, so that sixteen tables miss about one pair in a hundred at that cosine and next to none above
+    0.97, and one random pair in a hundred thousand meets. Eight tables of two blocks find as many from fewer keys, but there eight random
+    pairs in ten thousand meet, which large inputs cannot compare.
     """
 
-    tables: int = 8
-    blocks: int = 2
+    tables: int = 16
+    blocks: int = 3
     width: float = 0.25
     seed: int = 7
 
     @classmethod
     def suited(cls, rows: int) -> "Tables":
-        """Tables for so many distinct vectors: cells must grow with the rows, or comparisons would with their square."""
-        return cls() if rows <= 10_000_000 else cls(tables=16, blocks=3)
+        """Tables for so many distinct vectors: the same for any number, so that a pair's link never depends on what other rows there are."""
+        return cls()
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """Hashed cells (n, tables, 1 + blocks) of unit rows: the home cell, then for each block the cell with that block's next point."""
@@ -156,20 +156,19 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """(key, n_links, component_id, kept) for every row of vectors; other columns are dropped.
 
     Equal vectors are one class first, so copies cost nothing more than their count. Each class goes to its home cell and to probed
-    neighbouring cells of each table (Tables.suited to the number of classes, unless given), as a key alone; vectors are fetched by those
-    that share a cell, and home rows are compared with all rows of it in double precision. A pair is counted where it meets first, so counts are exact for all pairs that meet. A cell of more than `chunk` rows is
+    neighbouring cells of each table (the same tables whatever the input's size), as a key alone; vectors are fetched by those that share
+    a cell, and home rows are compared with all rows of it in double precision. A pair is counted where it meets first, so counts are exact for all pairs that meet. A cell of more than `chunk` rows is
     dealt in chunks, and pairs of chunks meet in separate tasks: no group is held by one task, and no pair leaves its task, only counts
     and a spanning forest do. Recall is that of the tables (see Tables); a link is never below the cosine.
 
     Unusable vectors (see usable) and rows with a null key link with nothing: n_links 0, the key itself as component, kept. Vectors of
     different lengths never link. Rows that repeat a key are each a vector.
     """
+    tables = tables or Tables()
     rows = vectors.select(F.col(key).alias("id"), F.when(usable(vector) & F.col(key).isNotNull(), F.col(vector)).alias("v"))
     good = rows.where("v IS NOT NULL")
     classes = written(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
 
-    tables = tables or Tables.suited(classes.count())
-
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for d, part in batch.groupby(batch["v"].map(len)):

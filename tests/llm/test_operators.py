@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from chronolake.llm import bpe, common, embedding_dedup, jaccard, language, lattice, lm_scoring, mixing, packing, sharding, topk, toxicity, url_filter
 
@@ -232,6 +233,20 @@ def test_recall_at_the_threshold():
         assert met.mean() >= least
 
 
+def test_links_do_not_depend_on_how_many_vectors_there_are(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 800, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9502 * a + math.sqrt(1 - 0.9502**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    links = lambda: {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    few, count = links(), DataFrame.count
+    assert sum(n for n, _ in few.values()) >= 0.95 * len(few)
+    monkeypatch.setattr(type(df), "count", lambda self: count(self) and count(self) + 10**8)
+    assert links() == few
+
+
 def test_shards(spark, odd, empty):
     df = odd.withColumn("shard", F.lit("clash"))
     rows = sharding.shard(df, 8).collect()
