@@ -169,21 +169,6 @@ class Model:
         away = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
         return np.where(away >= 0, self.near[:, np.clip(away, 0, 2 * BLOCK - 1)], np.float32(-1e9)).astype(np.float32)
 
-    def attend(self, given: np.ndarray, before: np.ndarray, mask: np.ndarray) -> tuple:
-        """Hidden states (blocks, BLOCK, WIDTH) of blocks of inputs and the blocks before them (padding where there is none)."""
-        n, d = len(given), WIDTH // HEADS
-        keys = np.concatenate([before, given], axis=1)
-        split = lambda x: np.ascontiguousarray(x.reshape(n, -1, HEADS, d).transpose(0, 2, 1, 3))
-        q, k, v = split(self.query[given]), split(self.key[keys]), split(self.value[keys])
-        s = q @ k.transpose(0, 1, 3, 2)
-        s *= np.float32(d**-0.5)
-        s += mask
-        s += np.where(keys == len(self.own) - 1, np.float32(-1e9), np.float32(0))[:, None, None, :]
-        s -= s.max(3, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(3, keepdims=True)
-        return (s @ v).transpose(0, 2, 1, 3).reshape(n, BLOCK, WIDTH) + self.own[given], q, k, v, s, keys
-
 
 def blocks(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of texts (each with its end) in blocks: targets and the ids before them (both -1 where padded), and whether a block is a text's first."""
@@ -227,7 +212,7 @@ class Scorer:
         return np.where(target < 0, 0, self.symbol[target]), given, previous
 
     def hidden(self, given: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Model.attend for consecutive blocks, given with the one before them: windows are views, masks multiply, and the product with the
+        """Hidden states of consecutive blocks, given with the one before them: windows are views, masks multiply, and the product with the
         values also sums the weights. Attention scores are bounded, far above what training gives, in place of subtracting their maximum."""
         n, d = len(first), WIDTH // HEADS
         x = np.take(self.rows, given, axis=0, out=self.x[: len(given)], mode="clip")
@@ -387,14 +372,13 @@ class Adam:
     def __init__(self, model: Model):
         self.model, self.t = model, 0
         self.state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in TRAINED}
-        self.p, self.more = np.empty((CHUNK * BLOCK, len(model.heads) + 1), np.float32), np.empty((CHUNK * BLOCK, len(model.heads) + 1), np.float32)
+        new = lambda *x: np.empty(x, np.float32)
+        self.p, self.more = new(CHUNK * BLOCK, len(model.heads) + 1), new(CHUNK * BLOCK, len(model.heads) + 1)
+        self.s, self.ds = new(CHUNK, HEADS, BLOCK, 2 * BLOCK), new(CHUNK, HEADS, BLOCK, 2 * BLOCK)
+        self.ones = np.ones(len(model.heads) + 1, np.float32)
 
     def step(self, target: np.ndarray, symbol: np.ndarray, given: np.ndarray, previous: np.ndarray, rate: float) -> None:
-        grads, real = {k: np.zeros_like(getattr(self.model, k)) for k in TRAINED}, max(1, (target >= 0).sum())
-        for lo in range(0, len(target), CHUNK):
-            part = slice(lo, lo + CHUNK)
-            for name, x in self.grads(target[part], symbol[part], given[part], previous[part], real).items():
-                grads[name] += x
+        grads = self.grads(target, symbol, given, previous)
         self.t += 1
         pace = rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for name, x in grads.items():
@@ -403,33 +387,66 @@ class Adam:
             s += np.float32(0.01) * (x * x - s)
             getattr(self.model, name)[...] -= np.float32(pace) * m / (np.sqrt(s) + np.float32(1e-8))
 
-    def grads(self, target: np.ndarray, symbol: np.ndarray, g: np.ndarray, previous: np.ndarray, total: int) -> dict[str, np.ndarray]:
-        model, d = self.model, WIDTH // HEADS
+    def grads(self, target: np.ndarray, symbol: np.ndarray, given: np.ndarray, previous: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the blocks' mean cost an id. CHUNK blocks are computed at once; embeddings' rows are summed at the end, once.
+
+        Divisions by sums, of the softmax and of the attention's weights, are made in the narrow factors of the products, not in the wide ones.
+        """
+        model, d, n = self.model, WIDTH // HEADS, len(target)
+        weight, root = np.exp(model.mask()), np.float32(d**-0.5)
+        value = np.ones((len(model.own), HEADS, d + 1), np.float32)  # the ones sum the weights
+        value[:, :, :d] = model.value.reshape(-1, HEADS, d)
+        query = np.concatenate([model.query * root, model.own], axis=1)
+        keyed = np.concatenate([model.key, value.reshape(len(value), -1)], axis=1)
+        keys = np.concatenate([previous, given], axis=1)
+        first = previous[:, 0] == len(model.own) - 1
+        share = (target >= 0).reshape(-1) / np.float32(max(1, (target >= 0).sum()))
+        of_given, of_keys = np.empty((n, BLOCK, 2 * WIDTH), np.float32), np.empty((n, 2 * BLOCK, 2 * WIDTH), np.float32)
+        out, away_sum = np.zeros_like(model.out), np.zeros((HEADS, BLOCK, 2 * BLOCK), np.float32)
+        split = lambda x: x.reshape(*x.shape[:2], HEADS, -1).transpose(0, 2, 1, 3)
+        for lo in range(0, n, CHUNK):
+            part = slice(lo, lo + CHUNK)
+            g = given[part]
+            m, flat = len(g), slice(lo * BLOCK, (lo + CHUNK) * BLOCK)
+            x, y = query[g], keyed[keys[part]]
+            q, k, v = split(x[:, :, :WIDTH]), split(y[:, :, :WIDTH]), split(y[:, :, WIDTH:])
+            s = np.matmul(q, k.transpose(0, 1, 3, 2), out=self.s[:m])
+            np.minimum(s, np.float32(60), out=s)  # as in Scorer.hidden
+            np.exp(s, out=s)
+            s *= weight
+            s[first[part], :, :, :BLOCK] = 0
+            o = s @ v
+            sums = o[..., d:]
+            o = o[..., :d] / sums
+            hidden = (x[:, :, WIDTH:].reshape(m, BLOCK, HEADS, d) + o.transpose(0, 2, 1, 3)).reshape(-1, WIDTH)
+            p = np.matmul(hidden, model.out, out=self.p[: len(hidden)])
+            p += np.take(model.direct, g.reshape(-1), axis=0, out=self.more[: len(hidden)], mode="clip")  # padding's row does not matter
+            np.exp(p, out=p)  # as in Scorer.texts, they do not overflow
+            total = p @ self.ones
+            p[np.arange(len(p)), symbol[part].reshape(-1)] -= total
+            total = (share[flat] / total)[:, None]
+            out += (hidden * total).T @ p
+            back = p @ model.out.T
+            back *= total
+            do = split(back.reshape(m, BLOCK, WIDTH)) / sums
+            ds = np.matmul(do, v[..., :d].transpose(0, 1, 3, 2), out=self.ds[:m])
+            ds -= (do * o).sum(3, keepdims=True)
+            ds *= s
+            away_sum += ds.sum(0)
+            split(of_given[part, :, :WIDTH])[...] = (ds @ k) * root
+            of_given[part, :, WIDTH:] = back.reshape(m, BLOCK, WIDTH)
+            split(of_keys[part, :, :WIDTH])[...] = ds.transpose(0, 1, 3, 2) @ q
+            split(of_keys[part, :, WIDTH:])[...] = s.transpose(0, 1, 3, 2) @ do
+        by_given, by_key = _by_row(given, of_given, len(model.own)), _by_row(keys, of_keys, len(model.own))
         away = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
-        merge = lambda x: x.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
-
-        def added(at: np.ndarray, x: np.ndarray) -> np.ndarray:
-            cell = at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-            return np.bincount(cell.reshape(-1), x.reshape(-1), len(model.own) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
-
-        hidden, q, k, v, a, keys = model.attend(g, previous, model.mask())
-        hidden = hidden.reshape(-1, WIDTH)
-        p = np.matmul(hidden, model.out, out=self.p[: len(hidden)])
-        p += np.take(model.direct, g.reshape(-1), axis=0, out=self.more[: len(hidden)], mode="clip")  # padding's row does not matter
-        np.exp(p, out=p)  # as in Scorer.texts, they do not overflow
-        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
-        p[np.arange(len(p)), symbol.reshape(-1)] -= 1
-        p[(target < 0).reshape(-1)] = 0
-        p /= np.float32(total)
-        back = p @ model.out.T
-        o = back.reshape(len(g), BLOCK, HEADS, d).transpose(0, 2, 1, 3)
-        da = o @ v.transpose(0, 1, 3, 2)
-        ds = a * (da - (da * a).sum(3, keepdims=True))
-        near = np.zeros_like(model.near)
-        for h in range(HEADS):
-            near[h] = np.bincount(away.reshape(-1), ds[:, h].sum(0).reshape(-1), 2 * BLOCK)
-        ds = ds * np.float32(d**-0.5)
-        return {"query": added(g, merge(ds @ k)), "key": added(keys, merge(ds.transpose(0, 1, 3, 2) @ q)), "value": added(keys, merge(a.transpose(0, 1, 3, 2) @ o)), "own": added(g, back), "out": hidden.T @ p, "near": near}
+        near = np.stack([np.bincount(away.reshape(-1), x.reshape(-1), 2 * BLOCK) for x in away_sum]).astype(np.float32)
+        return {"query": by_given[:, :WIDTH], "key": by_key[:, :WIDTH], "value": by_key[:, WIDTH:], "own": by_given[:, WIDTH:], "out": out, "near": near}
+
+
+def _by_row(at: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, width): the sums of x (..., width) by the rows at."""
+    at, columns = at.reshape(-1).astype(np.intp), np.ascontiguousarray(x.reshape(-1, x.shape[-1]).T, np.float64)
+    return np.stack([np.bincount(at, c, rows) for c in columns], axis=1).astype(np.float32)  # a column's sums stay in the cache
 
 
 def refined(docs: DataFrame, model: Model, tokenizer: str) -> Model:

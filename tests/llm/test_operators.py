@@ -150,6 +150,28 @@ def test_attention_windows_score_each_id_once_and_causally():
     assert np.allclose(together, [slow(t.tolist()) for t in texts], rtol=1e-4)
 
 
+def test_training_follows_the_slope_of_the_scores():
+    rng = np.random.default_rng(0)
+    pairs = {(int(a), int(b)): int(n) for a, b, n in zip(*rng.integers(0, 300, (2, 4000)), rng.integers(1, 9, 4000))}
+    keys = np.array(sorted(a << 17 | b for a, b in pairs))
+    model = lm_scoring.started(keys, np.array([pairs[int(k) >> 17, int(k) & (2**17 - 1)] for k in keys]), rng)
+    for name in lm_scoring.TRAINED:
+        getattr(model, name)[:] = rng.normal(0, 0.3, getattr(model, name).shape)
+    b = lm_scoring.BLOCK
+    texts = [rng.integers(0, 300, n) for n in (1, b, 5 * b + 3, (lm_scoring.CHUNK + 2) * b)]
+    target, before, first = lm_scoring.blocks(texts)
+    grads = lm_scoring.Adam(model).grads(target, *lm_scoring.Scorer(model).numbers(target, before, first))
+    cost = lambda: -math.log(10) * lm_scoring.Scorer(model).texts(texts).sum() / sum(map(len, texts))
+    for name in lm_scoring.TRAINED:
+        slope, at = grads[name], getattr(model, name)
+        start, size, ends = at.copy(), float(np.sqrt((slope.astype(float) ** 2).sum())), []
+        for side in (0.02, -0.02):
+            at[:] = start + np.float32(side / size) * slope
+            ends.append(cost())
+        at[:] = start
+        assert math.isclose((ends[0] - ends[1]) / 0.04, size, rel_tol=0.02), name
+
+
 def test_bpe_is_the_tokenizers_one(odd, docs):
     from tokenizers import Tokenizer
 
