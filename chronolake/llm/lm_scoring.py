@@ -1,4 +1,4 @@
-"""LM scoring: a causal self-attention model over subword ids, trained in numpy; overlapping windows score each token once.
+"""LM scoring: a causal self-attention model over subword ids, trained in numpy with kernels of onnxruntime; overlapping windows score each token once.
 
 The model. A text is its lower-cased words, each the byte-level BPE ids of a space and the word, then one end. The next id's logits are
 a direct path from the id before it (a table of corpus counts, all training documents) plus what two attention heads gather from up to
@@ -16,11 +16,12 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, kernels
 from .common import bounded_sample, held_out, releasing, words, written
 from .packing import tokenizer_path
 
@@ -34,12 +35,16 @@ SAMPLE, SAMPLE_IDS = 3000, 1_200_000
 SENT_WORDS, SENT_PAIRS = 1_000_000, 400_000
 #: Distinct words that a worker counts or remembers before it hands them on or starts anew.
 REMEMBERED = 600_000
+#: Texts that are split at once.
+SPLIT = 1024
 #: Blocks whose windows are computed at once; few, so that their logits stay in the processor's cache.
 BATCH = 128
 #: The end, as an id and as a word's hash; also what stands before a text's first id. NONE stands for ids that are not told apart.
 END, NONE = 2**17 - 1, 2**17 - 2
 _END_HASH = -1
 _SMOOTH, _BACK = 0.1, 2.0
+#: Attention scores are bounded by it, far above what training gives.
+_MOST = 60
 
 
 def _hash(word: bytes) -> int:
@@ -48,6 +53,19 @@ def _hash(word: bytes) -> int:
     return (h - 2**64 if h >= 2**63 else h) if h != 2**64 - 1 else 0
 
 
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of all texts as places in the distinct ones; how many words each text has; and the distinct ones: as common.words splits
+    them, but by Arrow, which looks each word up in less than a Python dict takes."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    code, many = parts.flatten().dictionary_encode(), parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    at, distinct = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), code.dictionary.cast(pa.large_binary()).to_pylist()
+    if b"" in distinct:  # what is split off before a first blank and after a last one
+        empty = at == distinct.index(b"")
+        many -= np.bincount(np.repeat(np.arange(len(many)), many)[empty], minlength=len(many))
+        at = at[~empty]
+    return at, many, distinct
+
+
 class _Numbers(dict):
     """Numbers of words, in the order in which they are first asked for."""
 
@@ -71,9 +89,10 @@ class _Counter:
         self.inside: list[tuple[np.ndarray, np.ndarray]] = []  # of the words that came together: each pair of ids and its word's number
         self.across, self.waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [np.zeros(0, np.int64)]
 
-    def add(self, texts: list[list[bytes]]) -> None:
+    def add(self, texts: pa.Array) -> None:
         self.texts += len(texts)
-        w = np.fromiter((self.number[x] for t in texts for x in t), np.int64)
+        code, lengths, distinct = _coded(texts)
+        w = np.array([self.number[x] if x else -1 for x in distinct], np.int64)[code]
         new = list(islice(reversed(self.number), len(self.number) - self.n.size))[::-1]
         if new:
             ids, opens = self.encoder.encode_words(new)
@@ -84,7 +103,6 @@ class _Counter:
             self.ends = np.concatenate([self.ends, np.stack([ids[starts], ids[stops]])], axis=1)
             self.n = np.append(self.n, np.zeros(len(new), np.int64))
         self.n += np.bincount(w, minlength=self.n.size)
-        lengths = np.array([len(t) for t in texts])
         at = np.cumsum(lengths + 1) - 1  # where a text ends
         first, last = np.full(len(w) + len(texts), END), np.full(len(w) + len(texts), END)
         word = np.ones(len(first), bool)
@@ -116,17 +134,16 @@ class _Counter:
 def counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(kind, key, n) over all texts t of docs. kind 0: word (hash) and end; 1: pair of ids, before << 17 | id, END standing before a
     text's first id and after its last. Both are counted in each task before anything is shuffled."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter(bpe.load(tokenizer))
         for batch in batches:
-            texts = batch["t"].tolist()
-            for lo in range(0, len(texts), 256):
-                counter.add([words(t) for t in texts[lo : lo + 256]])
+            for lo in range(0, len(batch), SPLIT):
+                counter.add(batch.column("t").slice(lo, SPLIT))
                 if counter.full():
-                    yield counter.told()
-        yield counter.told()
+                    yield pa.RecordBatch.from_pandas(counter.told(), preserve_index=False)
+        yield pa.RecordBatch.from_pandas(counter.told(), preserve_index=False)
 
-    return docs.mapInPandas(releasing(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0")
+    return docs.mapInArrow(releasing(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def most_frequent(table: DataFrame, bound: int) -> tuple[DataFrame, bool]:
@@ -185,21 +202,29 @@ def blocks(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return target.reshape(-1, BLOCK), before.reshape(-1, BLOCK), first
 
 
+def _small(query: np.ndarray, key: np.ndarray) -> bool:
+    """Whether no attention score can pass _MOST: scores are at most the product of a query's and a key's length."""
+    long = lambda x: np.sqrt(np.einsum("nhd,nhd->nh", *[x.reshape(len(x), HEADS, -1)] * 2).max(0))
+    return bool((long(query) * long(key) < _MOST).all())
+
+
 class Scorer:
     """log10 probabilities of texts, given as ids."""
 
     def __init__(self, model: Model):
         self.m = model
         self.symbol, self.given = model.tables()
-        self.weight = np.exp(model.mask())[:, None]
+        self.weight = np.exp(model.mask())
         d, n = WIDTH // HEADS, len(model.own)
         value = np.ones((n, HEADS, d + 1), np.float32)  # the ones sum the weights
         value[:, :, :d] = model.value.reshape(n, HEADS, d)
         #: All that an input's embedding is needed for, in one row: query, key, value with a one for each head, own.
         self.rows = np.concatenate([model.query * np.float32(d**-0.5), model.key, value.reshape(n, -1), model.own], axis=1)
+        self.small = _small(self.rows[:, :WIDTH], model.key)
         new = lambda *x: np.empty(x, np.float32)
-        self.x, self.s, self.o = new((BATCH + 1) * BLOCK, self.rows.shape[1]), new(HEADS, BATCH, BLOCK, 2 * BLOCK), new(HEADS, BATCH, BLOCK, d + 1)
-        self.a, self.b = new(BATCH * BLOCK, len(model.heads) + 1), new(BATCH * BLOCK, len(model.heads) + 1)
+        self.x, self.s, self.o = new((BATCH + 1) * BLOCK, self.rows.shape[1]), new(BATCH, HEADS, BLOCK, 2 * BLOCK), new(BATCH, HEADS, BLOCK, d + 1)
+        self.a, self.h = new(BATCH * BLOCK, len(model.heads) + 1), new(BATCH * BLOCK, WIDTH)
+        self.exp_s, self.exp_a, self.logits = kernels.Exp(self.s), kernels.Exp(self.a), kernels.AddProduct(self.h, np.ascontiguousarray(model.out), self.a)
         self.ones = np.ones(len(model.heads) + 1, np.float32)
         self.line = np.arange(BATCH * BLOCK) * (len(model.heads) + 1)
 
@@ -212,23 +237,25 @@ class Scorer:
         return np.where(target < 0, 0, self.symbol[target]), given, previous
 
     def hidden(self, given: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Hidden states of consecutive blocks, given with the one before them: windows are views, masks multiply, and the product with the
+        """Hidden states (kept until the next call) of consecutive blocks, given with the one before them: windows are views, masks multiply, and the product with the
         values also sums the weights. Attention scores are bounded, far above what training gives, in place of subtracting their maximum."""
         n, d = len(first), WIDTH // HEADS
         x = np.take(self.rows, given, axis=0, out=self.x[: len(given)], mode="clip")
         row, one = x.strides
-        window = lambda at, wide: np.lib.stride_tricks.as_strided(x[:, at:], (HEADS, n, 2 * BLOCK, wide), (wide * one, BLOCK * row, row, one))
-        q = x[BLOCK:, :WIDTH].reshape(n, BLOCK, HEADS, d).transpose(2, 0, 1, 3)
-        s = np.matmul(q, window(WIDTH, d).transpose(0, 1, 3, 2), out=self.s[:, :n])
-        np.minimum(s, np.float32(60), out=s)
-        np.exp(s, out=s)
+        window = lambda at, wide: np.lib.stride_tricks.as_strided(x[:, at:], (n, HEADS, 2 * BLOCK, wide), (BLOCK * row, wide * one, row, one))
+        q = x[BLOCK:, :WIDTH].reshape(n, BLOCK, HEADS, d).transpose(0, 2, 1, 3)
+        s = np.matmul(q, window(WIDTH, d).transpose(0, 1, 3, 2), out=self.s[:n])
+        if not self.small:
+            np.minimum(s, np.float32(_MOST), out=s)
+        self.exp_s(n)
         s *= self.weight
         if first.any():
-            s[:, first, :, :BLOCK] = 0
-        o = np.matmul(s, window(2 * WIDTH, d + 1), out=self.o[:, :n])
+            s[first, :, :, :BLOCK] = 0
+        o = np.matmul(s, window(2 * WIDTH, d + 1), out=self.o[:n])
         o[..., :d] /= o[..., d:]
-        out = x[BLOCK:, -WIDTH:].reshape(n, BLOCK, HEADS, d) + o[..., :d].transpose(1, 2, 0, 3)
-        return out.reshape(-1, WIDTH)
+        out = self.h[: n * BLOCK]
+        np.add(x[BLOCK:, -WIDTH:].reshape(n, BLOCK, HEADS, d), o[..., :d].transpose(0, 2, 1, 3), out=out.reshape(n, BLOCK, HEADS, d))
+        return out
 
     def texts(self, ids: list[np.ndarray]) -> np.ndarray:
         return self.looked_up(ids)[0]
@@ -243,12 +270,11 @@ class Scorer:
         for lo in range(0, len(target), BATCH):
             flat = slice(lo * BLOCK, (lo + BATCH) * BLOCK)
             own = given[lo * BLOCK : (lo + BATCH + 1) * BLOCK]
-            hidden = self.hidden(own, first[lo : lo + BATCH])
-            n = len(hidden)
-            logits = np.matmul(hidden, self.m.out, out=self.a[:n])
-            logits += np.take(self.m.direct, own[BLOCK:], axis=0, out=self.b[:n], mode="clip")  # padding's row does not matter
+            n = len(self.hidden(own, first[lo : lo + BATCH]))
+            logits = np.take(self.m.direct, own[BLOCK:], axis=0, out=self.a[:n], mode="clip")  # padding's row does not matter
+            self.logits(n)
             picked[flat] = np.take(self.a, self.line[:n] + flat_symbol[flat])
-            np.exp(logits, out=logits)  # logits are log-probabilities of counts and small corrections: they do not overflow
+            self.exp_a(n)  # logits are log-probabilities of counts and small corrections: they do not overflow
             sums[flat] = logits @ self.ones
         got = ((picked - np.log(sums)) / np.float32(np.log(10))).reshape(target.shape)
         got[target < 0] = 0
@@ -372,10 +398,14 @@ class Adam:
     def __init__(self, model: Model):
         self.model, self.t = model, 0
         self.state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in TRAINED}
-        new = lambda *x: np.empty(x, np.float32)
-        self.p, self.more = new(CHUNK * BLOCK, len(model.heads) + 1), new(CHUNK * BLOCK, len(model.heads) + 1)
+        new, d, width = lambda *x: np.empty(x, np.float32), WIDTH // HEADS, len(model.heads) + 1
+        self.x, self.y = new(CHUNK, BLOCK, 2 * WIDTH), new(CHUNK, 2 * BLOCK, 2 * WIDTH + HEADS)
         self.s, self.ds = new(CHUNK, HEADS, BLOCK, 2 * BLOCK), new(CHUNK, HEADS, BLOCK, 2 * BLOCK)
-        self.ones = np.ones(len(model.heads) + 1, np.float32)
+        self.o, self.do = new(CHUNK, HEADS, BLOCK, d + 1), new(CHUNK, HEADS, BLOCK, d + 1)
+        self.p, self.hidden, self.scaled, self.out = new(CHUNK * BLOCK, width), new(CHUNK * BLOCK, WIDTH), new(CHUNK * BLOCK, WIDTH), new(WIDTH, width)
+        self.exp_s, self.exp_p = kernels.Exp(self.s), kernels.Exp(self.p)
+        self.logits, self.product = kernels.AddProduct(self.hidden, self.out, self.p), kernels.Product(self.scaled, self.p)
+        self.ones, self.line = np.ones(width, np.float32), np.arange(CHUNK * BLOCK) * width
 
     def step(self, target: np.ndarray, symbol: np.ndarray, given: np.ndarray, previous: np.ndarray, rate: float) -> None:
         grads = self.grads(target, symbol, given, previous)
@@ -398,6 +428,8 @@ class Adam:
         value[:, :, :d] = model.value.reshape(-1, HEADS, d)
         query = np.concatenate([model.query * root, model.own], axis=1)
         keyed = np.concatenate([model.key, value.reshape(len(value), -1)], axis=1)
+        small, by_symbol = _small(query[:, :WIDTH], model.key), np.ascontiguousarray(model.out.T)
+        self.out[...] = model.out
         keys = np.concatenate([previous, given], axis=1)
         first = previous[:, 0] == len(model.own) - 1
         share = (target >= 0).reshape(-1) / np.float32(max(1, (target >= 0).sum()))
@@ -408,45 +440,74 @@ class Adam:
             part = slice(lo, lo + CHUNK)
             g = given[part]
             m, flat = len(g), slice(lo * BLOCK, (lo + CHUNK) * BLOCK)
-            x, y = query[g], keyed[keys[part]]
+            x, y = np.take(query, g, axis=0, out=self.x[:m], mode="clip"), np.take(keyed, keys[part], axis=0, out=self.y[:m], mode="clip")
             q, k, v = split(x[:, :, :WIDTH]), split(y[:, :, :WIDTH]), split(y[:, :, WIDTH:])
             s = np.matmul(q, k.transpose(0, 1, 3, 2), out=self.s[:m])
-            np.minimum(s, np.float32(60), out=s)  # as in Scorer.hidden
-            np.exp(s, out=s)
+            if not small:
+                np.minimum(s, np.float32(_MOST), out=s)  # as in Scorer.hidden
+            self.exp_s(m)
             s *= weight
             s[first[part], :, :, :BLOCK] = 0
-            o = s @ v
-            sums = o[..., d:]
-            o = o[..., :d] / sums
-            hidden = (x[:, :, WIDTH:].reshape(m, BLOCK, HEADS, d) + o.transpose(0, 2, 1, 3)).reshape(-1, WIDTH)
-            p = np.matmul(hidden, model.out, out=self.p[: len(hidden)])
-            p += np.take(model.direct, g.reshape(-1), axis=0, out=self.more[: len(hidden)], mode="clip")  # padding's row does not matter
-            np.exp(p, out=p)  # as in Scorer.texts, they do not overflow
+            o = np.matmul(s, v, out=self.o[:m])
+            sums, o = o[..., d:], o[..., :d]
+            o /= sums
+            hidden, scaled = self.hidden[: m * BLOCK], self.scaled[: m * BLOCK]
+            np.add(x[:, :, WIDTH:].reshape(m, BLOCK, HEADS, d), o.transpose(0, 2, 1, 3), out=hidden.reshape(m, BLOCK, HEADS, d))
+            p = np.take(model.direct, g.reshape(-1), axis=0, out=self.p[: m * BLOCK], mode="clip")  # padding's row does not matter
+            self.logits(len(p))
+            self.exp_p(len(p))  # as in Scorer.texts, they do not overflow
             total = p @ self.ones
-            p[np.arange(len(p)), symbol[part].reshape(-1)] -= total
+            p.reshape(-1)[self.line[: len(p)] + symbol[part].reshape(-1)] -= total
             total = (share[flat] / total)[:, None]
-            out += (hidden * total).T @ p
-            back = p @ model.out.T
+            np.multiply(hidden, total, out=scaled)
+            out += self.product(len(p))
+            back = p @ by_symbol
             back *= total
-            do = split(back.reshape(m, BLOCK, WIDTH)) / sums
-            ds = np.matmul(do, v[..., :d].transpose(0, 1, 3, 2), out=self.ds[:m])
-            ds -= (do * o).sum(3, keepdims=True)
+            do = self.do[:m]  # the last column, beside the values' ones, takes the mean off
+            np.divide(split(back.reshape(m, BLOCK, WIDTH)), sums, out=do[..., :d])
+            np.negative(np.einsum("bhid,bhid->bhi", do[..., :d], o), out=do[..., d])
+            ds = np.matmul(do, v.transpose(0, 1, 3, 2), out=self.ds[:m])
             ds *= s
             away_sum += ds.sum(0)
-            split(of_given[part, :, :WIDTH])[...] = (ds @ k) * root
+            np.matmul(ds, k, out=split(of_given[part, :, :WIDTH]))
             of_given[part, :, WIDTH:] = back.reshape(m, BLOCK, WIDTH)
-            split(of_keys[part, :, :WIDTH])[...] = ds.transpose(0, 1, 3, 2) @ q
-            split(of_keys[part, :, WIDTH:])[...] = s.transpose(0, 1, 3, 2) @ do
-        by_given, by_key = _by_row(given, of_given, len(model.own)), _by_row(keys, of_keys, len(model.own))
+            np.matmul(ds.transpose(0, 1, 3, 2), q, out=split(of_keys[part, :, :WIDTH]))
+            np.matmul(s.transpose(0, 1, 3, 2), do[..., :d], out=split(of_keys[part, :, WIDTH:]))
+        by_given, by_key = kernels.by_row(given, of_given, len(model.own)), kernels.by_row(keys, of_keys, len(model.own))
         away = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :], 0, 2 * BLOCK - 1)
         near = np.stack([np.bincount(away.reshape(-1), x.reshape(-1), 2 * BLOCK) for x in away_sum]).astype(np.float32)
-        return {"query": by_given[:, :WIDTH], "key": by_key[:, :WIDTH], "value": by_key[:, WIDTH:], "own": by_given[:, WIDTH:], "out": out, "near": near}
+        return {"query": by_given[:, :WIDTH] * root, "key": by_key[:, :WIDTH], "value": by_key[:, WIDTH:], "own": by_given[:, WIDTH:], "out": out, "near": near}
 
 
-def _by_row(at: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, width): the sums of x (..., width) by the rows at."""
-    at, columns = at.reshape(-1).astype(np.intp), np.ascontiguousarray(x.reshape(-1, x.shape[-1]).T, np.float64)
-    return np.stack([np.bincount(at, c, rows) for c in columns], axis=1).astype(np.float32)  # a column's sums stay in the cache
+class _Ids:
+    """Ids of words. Words met are remembered by number, 0 being the end."""
+
+    def __init__(self, encoder: bpe.ByteBPE):
+        self.encoder, self.number = encoder, {}
+        self.at, self.many, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, END, np.int64)  # by number: where ids begin, how many
+
+    def full(self) -> bool:
+        return len(self.number) >= REMEMBERED
+
+    def numbered(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bytes]]:
+        """The numbers of each text's words and of its end; and the words met for the first time, in the order of their numbers."""
+        code, lengths, distinct = _coded(texts)
+        new = [w for w in distinct if w and w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number) + 1, len(self.number) + 1 + len(new)), strict=True))
+            ids, opens = self.encoder.encode_words(new)
+            starts = np.flatnonzero(opens)
+            self.at, self.many, self.flat = np.append(self.at, starts + len(self.flat)), np.append(self.many, np.diff(np.append(starts, len(ids)))), np.append(self.flat, ids)
+        stops = np.cumsum(lengths + 1)
+        w, word = np.zeros(len(code) + len(lengths), np.int64), np.ones(len(code) + len(lengths), bool)
+        word[stops - 1] = False
+        w[word] = np.array([self.number.get(x, -1) for x in distinct], np.int64)[code]
+        return np.split(w, stops[:-1])[: len(lengths)], new
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        """Ids of the words numbered w, one after another."""
+        length = self.many[w]
+        return self.flat[np.repeat(self.at[w] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
 
 
 def refined(docs: DataFrame, model: Model, tokenizer: str) -> Model:
@@ -455,21 +516,13 @@ def refined(docs: DataFrame, model: Model, tokenizer: str) -> Model:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     sizes = [getattr(model, k).size for k in TRAINED]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the broadcast value may be another task's too
         model = Model(**{f.name: v.copy() if (v := getattr(sent.value, f.name)) is not None and f.name in TRAINED else v for f in fields(Model)})
         encoder, scorer, adam = bpe.load(tokenizer), Scorer(model), Adam(model)
-        n, held = 0, []
-        known: dict[bytes, np.ndarray] = {}
+        n, held, known = 0, [], _Ids(encoder)
 
-        def learn(texts: list[list[bytes]]) -> int:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            new = [w for w in set().union(*texts) if w not in known]
-            if new:
-                ids, opens = encoder.encode_words(new)
-                known.update(zip(new, np.split(np.asarray(ids, np.int64), np.flatnonzero(opens)[1:]), strict=True))
-            ids = [np.concatenate([*[known[w] for w in t], [END]]) for t in texts]
+        def learn(ids: list[np.ndarray]) -> int:
             target, before, first = blocks(ids)
             symbol, given, previous = scorer.numbers(target, before, first)
             order = np.random.default_rng(len(target)).permutation(len(target))
@@ -480,14 +533,17 @@ def refined(docs: DataFrame, model: Model, tokenizer: str) -> Model:
             return sum(map(len, ids))
 
         for batch in batches:
-            for t in batch["t"].tolist():
-                held.append(words(t))
-                if len(held) == 128:
-                    n, held = n + learn(held), []
+            for lo in range(0, len(batch), SPLIT):
+                if known.full():
+                    known = _Ids(encoder)
+                for w in known.numbered(batch.column("t").slice(lo, SPLIT))[0]:
+                    held.append(known.of(w))
+                    if len(held) == 128:
+                        n, held = n + learn(held), []
         if held:
             n += learn(held)
         if n:
-            yield pd.DataFrame({"n": [float(n)], "x": [(np.concatenate([getattr(model, k).reshape(-1) for k in TRAINED]).astype(np.float64) * n).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"n": [float(n)], "x": [(np.concatenate([getattr(model, k).reshape(-1) for k in TRAINED]).astype(np.float64) * n).tobytes()]})
 
     def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, x = 0.0, np.zeros(sum(sizes))
@@ -496,7 +552,7 @@ def refined(docs: DataFrame, model: Model, tokenizer: str) -> Model:
                 n, x = n + k, x + np.frombuffer(raw)
         yield pd.DataFrame({"n": [n], "x": [x.tobytes()]})
 
-    copies = written(docs.mapInPandas(releasing(run), "n double, x binary"))
+    copies = written(docs.mapInArrow(releasing(run), "n double, x binary"))
     few = copies.repartition(max(1, math.isqrt(copies.count()))).mapInPandas(mean, copies.schema)
     n, x = 0.0, np.zeros(sum(sizes))
     for r in few.toLocalIterator():
@@ -546,40 +602,31 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (keys, n) = sent.value
         scorer, encoder = Scorer(model), bpe.load(tokenizer)
-        number: dict[bytes, int] = {}
-        # by a word's number, 0 being the end: its count (-1: not among those sent), hash, and where its ids are
-        c, hashes, at, many, flat = np.zeros(1), np.full(1, _END_HASH), np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, END)
-
-        def learn(distinct: set[bytes]) -> None:
-            nonlocal c, hashes, at, many, flat
-            if len(number) >= REMEMBERED:
-                number.clear()
-                c, hashes, at, many, flat = c[:1], hashes[:1], at[:1], many[:1], flat[:1]
-            new = [w for w in distinct if w not in number]
-            if not new:
-                return
-            number.update(zip(new, range(len(number) + 1, len(number) + 1 + len(new)), strict=True))
-            h = np.array([_hash(w) for w in new], np.int64)
-            found = np.zeros(len(h), bool)
-            if len(keys):
-                near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                found = keys[near] == h
-            c = np.concatenate([c, np.where(found, n[near], 0.0 if whole else -1.0) if len(keys) else np.full(len(h), 0.0 if whole else -1.0)])
-            ids, opens = encoder.encode_words(new)
-            starts = np.flatnonzero(opens)
-            hashes, at, many, flat = np.concatenate([hashes, h]), np.concatenate([at, starts + len(flat)]), np.concatenate([many, np.diff(np.append(starts, len(ids)))]), np.concatenate([flat, ids])
+        known = _Ids(encoder)
+        c, hashes = np.zeros(1), np.full(1, _END_HASH)  # by a word's number: its count (-1: not among those sent), and its hash
+
+        def numbered(texts: pa.Array) -> list[np.ndarray]:
+            nonlocal known, c, hashes
+            if known.full():
+                known, c, hashes = _Ids(encoder), c[:1], hashes[:1]
+            numbers, new = known.numbered(texts)
+            if new:
+                h = np.array([_hash(w) for w in new], np.int64)
+                if len(keys):
+                    near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    count = np.where(keys[near] == h, n[near], 0.0 if whole else -1.0)
+                else:
+                    count = np.full(len(h), 0.0 if whole else -1.0)
+                c, hashes = np.append(c, count), np.append(hashes, h)
+            return numbers
 
         def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts), kind))
 
-        def given(key: pa.Array, bodies: list[str | None]) -> pa.RecordBatch:
-            texts = [words(t) for t in bodies]
-            learn(set().union(*texts))
+        def given(key: pa.Array, numbers: list[np.ndarray]) -> pa.RecordBatch:
             parts, out = [], []
-            for found in texts:
-                w = np.array([*[number[x] for x in found], 0], np.int64)
-                length = many[w]
-                parts.append(flat[np.repeat(at[w] - (np.cumsum(length) - length), length) + np.arange(length.sum())])
+            for w in numbers:
+                parts.append(known.of(w))
                 own = c[w[:-1]]
                 seen = own[own >= 0]
                 out.append((len(w), int((seen > 0).sum()), float(np.log10(seen + _SMOOTH).sum()), hashes[w[:-1][own < 0]]))
@@ -589,9 +636,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             return pa.RecordBatch.from_arrays(columns, ["k", "n_tokens", "n_known", "sums", "rare", "score", "pairs", "bases"])
 
         for batch in batches:
-            key, bodies = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(bodies), 256):
-                yield given(key.slice(lo, 256), bodies[lo : lo + 256])
+            for lo in range(0, len(batch), SPLIT):
+                key, numbers = batch.column(0).slice(lo, SPLIT), numbered(batch.column(1).slice(lo, SPLIT))
+                for at in range(0, len(numbers), 256):
+                    yield given(key.slice(at, 256), numbers[at : at + 256])
 
     kind = docs.schema[key].dataType.simpleString()
     scored = texts.mapInArrow(releasing(run), f"k {kind}, n_tokens long, n_known long, sums double, rare array<long>, score double, pairs array<long>, bases array<double>")

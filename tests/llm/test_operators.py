@@ -6,14 +6,16 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from contextlib import nullcontext
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from chronolake.llm import bpe, common, embedding_dedup, jaccard, language, lattice, lm_scoring, mixing, packing, sharding, topk, toxicity, url_filter
+from chronolake.llm import bpe, common, embedding_dedup, jaccard, kernels, language, lattice, lm_scoring, mixing, packing, sharding, topk, toxicity, url_filter
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -172,6 +174,46 @@ def test_training_follows_the_slope_of_the_scores():
         assert math.isclose((ends[0] - ends[1]) / 0.04, size, rel_tol=0.02), name
 
 
+@pytest.mark.parametrize("installed", [True, False])
+def test_kernels_are_numpys(installed, monkeypatch):
+    """Whole buffers, their first rows, and rows that repeat; with and without onnxruntime."""
+    if installed:
+        pytest.importorskip("onnxruntime")
+    else:
+        monkeypatch.setattr(kernels, "onnxruntime", None)
+    rng = np.random.default_rng(0)
+    normal = lambda *s: rng.normal(-1, 3, s).astype(np.float32)
+    for rows in (40, 7):
+        x = normal(40, 2, 13)
+        want = np.concatenate([np.exp(x[:rows].astype(float)), x[rows:]])
+        kernels.Exp(x)(rows)
+        assert np.allclose(x, want, rtol=1e-6)
+        a, b, y = normal(40, 5), normal(5, 13), normal(40, 13)
+        want = y.astype(float)
+        want[:rows] += a[:rows].astype(float) @ b
+        kernels.AddProduct(a, b, y)(rows)
+        assert np.allclose(y, want, rtol=1e-4, atol=1e-4)
+        assert np.allclose(kernels.Product(a, y)(rows), a[:rows].T.astype(float) @ y[:rows], rtol=1e-4, atol=1e-3)
+    at, x = rng.integers(0, 6, (30, 4)), normal(30, 4, 3)
+    want = np.zeros((9, 3))
+    np.add.at(want, at.reshape(-1), x.reshape(-1, 3))
+    assert np.allclose(kernels.by_row(at, x, 9), want, rtol=1e-4, atol=1e-4)
+    with pytest.raises(ValueError) if installed else nullcontext():
+        kernels.Exp(normal(4, 6)[:, ::2])
+
+
+def test_words_split_at_once_are_those_of_each_text(odd, docs):
+    texts = [*[r["text"] for r in odd.collect()], *[r["text"] for r in docs.limit(40).collect()], " a b", "a b ", "A  b\x0bc\x0cd\re", "\u3000x\x1cy\x85 \xa0z", "\x00 q"]
+    encoder = bpe.load(packing.tokenizer_path())
+    known = lm_scoring._Ids(encoder)
+    for part in (texts, texts[:3], [], texts[::-1]):
+        at, many, distinct = lm_scoring._coded(pa.array(part, pa.string()))
+        assert many.tolist() == [len(common.words(t)) for t in part]
+        assert [distinct[i] for i in at] == [w for t in part for w in common.words(t)]
+        for t, w in zip(part, known.numbered(pa.array(part, pa.string()))[0], strict=True):
+            assert known.of(w).tolist() == [*encoder.encode_words(common.words(t))[0], lm_scoring.END]
+
+
 def test_bpe_is_the_tokenizers_one(odd, docs):
     from tokenizers import Tokenizer
 
