@@ -56,6 +56,7 @@ def _hash(word: bytes) -> int:
 def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The words of all texts as places in the distinct ones; how many words each text has; and the distinct ones: as common.words splits
     them, but by Arrow, which looks each word up in less than a Python dict takes."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a copy: pyarrow 23 lower-cases a cast slice, whose bytes begin inside their buffer, wrongly
     parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     code, many = parts.flatten().dictionary_encode(), parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     at, distinct = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), code.dictionary.cast(pa.large_binary()).to_pylist()

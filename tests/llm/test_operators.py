@@ -214,6 +214,28 @@ def test_words_split_at_once_are_those_of_each_text(odd, docs):
             assert known.of(w).tolist() == [*encoder.encode_words(common.words(t))[0], lm_scoring.END]
 
 
+def test_words_of_later_parts_of_a_batch_are_theirs(spark):
+    """More rows in one batch than are split at once: all but the first part begin inside the batch's buffers (a null would have them copied)."""
+    texts = ["" if i % 7 == 0 else f" Word{i % 50} w{i}  X\t" + "y " * (i % 5) for i in range(2 * lm_scoring.SPLIT + 300)]
+    for kind in (pa.string(), pa.large_string()):
+        for lo in range(0, len(texts), lm_scoring.SPLIT):
+            part = texts[lo : lo + lm_scoring.SPLIT]
+            at, many, distinct = lm_scoring._coded(pa.array(texts, kind).slice(lo, lm_scoring.SPLIT))
+            assert many.tolist() == [len(common.words(t)) for t in part]
+            assert [distinct[i] for i in at] == [w for t in part for w in common.words(t)]
+    count = Counter()
+    for k, t in enumerate(texts):
+        if not held(k, 10):
+            count.update([*common.words(t), "end"])
+    n, v = sum(count.values()), len(count)
+    got = lm_scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = [*common.words(texts[r["doc_id"]]), "end"]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"], 10), len(w), sum(count[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
+
+
 def test_bpe_is_the_tokenizers_one(odd, docs):
     from tokenizers import Tokenizer
 
